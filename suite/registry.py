@@ -1,9 +1,9 @@
 """All registered queries and the SQL that checks them."""
 
-from suite import analysis, tables
+from suite import analysis, series, tables
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for part in (tables, analysis):
+for part in (tables, analysis, series):
     QUERIES.update(part.QUERIES)
     ORACLES.update(part.ORACLES)
