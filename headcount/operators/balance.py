@@ -23,6 +23,8 @@ STRATEGIES = ((95, "smote_enn"), (80, "smote"), (60, "random_undersample"), (0,
 SMOTE_NEIGHBOURS = 5
 ENN_NEIGHBOURS = 3
 
+# Classes of a target, each with one row in a broadcast.
+MAX_CLASSES = 1000
 # Rows one task makes from one vector before the rest goes to others.
 CHUNK = 10_000
 
@@ -75,8 +77,12 @@ def random_undersample(df: DataFrame, target: str, key: str, seed: int = 42) ->
     """
     present = df.where(F.col(target).isNotNull())
     counts = present.groupBy(target).agg(F.count(F.lit(1)).alias("n"))
-    wanted = counts.select(target, counts.agg(F.min("n")).scalar().alias("k"))
-    # One row per class.
+    smallest = counts.agg(F.struct(F.min("n").alias("n"), F.count(F.lit(1)).alias("classes"))).scalar()
+    failure = F.raise_error(F.lit(f"'{target}' has more than {MAX_CLASSES} classes")).cast("bigint")
+    wanted = counts.select(
+        target, F.when(smallest["classes"] > MAX_CLASSES, failure).otherwise(smallest["n"]).alias("k")
+    )
+    # One row per class, and their number is checked above.
     limits = F.broadcast(smallest_by_hash(present, key, seed, [target], wanted))
     order = F.struct(hash_order(key, seed).alias("_hash"), F.col(key).alias("_key"))
     return present.join(limits, target).where(order <= F.col("last")).drop("last").select(*df.columns)

@@ -144,8 +144,6 @@ def _type_two(cells: pd.DataFrame) -> pd.DataFrame:
     """Effects from the cells' counts, means and inner sums of squares."""
     a, levels_a = pd.factorize(cells["a"], sort=True)
     b, levels_b = pd.factorize(cells["b"], sort=True)
-    if len(levels_a) + len(levels_b) > MAX_LEVELS:
-        raise ValueError(f"two-way ANOVA takes at most {MAX_LEVELS} levels")
     n, mean = cells["n"].to_numpy(float), cells["mean"].to_numpy(float)
     root = np.sqrt(n)
     in_a, in_b = np.eye(len(levels_a))[a], np.eye(len(levels_b))[b]
@@ -193,6 +191,9 @@ def two_way_anova_p(df: DataFrame, value: str, a: str, b: str) -> DataFrame:
             (F.var_pop(v) * F.count(v)).alias("within"),
         )
     )
+    levels = cells.agg(F.count_distinct("a") + F.count_distinct("b")).scalar()
+    failure = F.raise_error(F.lit(f"two-way ANOVA takes at most {MAX_LEVELS} levels")).cast("boolean")
+    cells = cells.where(F.when(levels > MAX_LEVELS, failure).otherwise(F.lit(True)))
     schema = "term string, sum_sq double, df bigint, statistic double, p_value double"
     table = cells.groupBy(F.lit(0).alias("one")).applyInPandas(_type_two, schema)
     return table.select(

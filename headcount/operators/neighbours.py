@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from headcount.session import cut_lineage
 
 # Vectors per cell, and vectors sampled per cell to place the splits.
-CELL_ROWS = 4000
+CELL_ROWS = 2000
 SAMPLED = 16
 # Visits to one cell that one task handles.
 VISITS = 20_000
@@ -29,7 +29,7 @@ BATCH = 256
 # Tasks per shuffle partition.
 TASKS = 4
 
-_NEAR = "array<struct<square: double, vec: array<double>, sizes: array<bigint>>>"
+_ENTRY = "struct<square: double, vec: array<double>, sizes: array<bigint>>"
 
 
 @dataclass
@@ -49,21 +49,24 @@ class Splits:
             found[open_] = np.where(left, self.low[node], self.high[node])
         return -found - 1
 
-    def reached(self, points: np.ndarray, radius: np.ndarray) -> list[list[int]]:
-        """The cells that each point's ball may touch."""
+    def reached(self, points: np.ndarray, squares: np.ndarray) -> list[list[int]]:
+        """The cells that a ball around each point touches; `squares` are squared radii."""
         cells: list[list[int]] = [[] for _ in points]
-        waiting = [(0 if len(self.dim) else -1, np.arange(len(points)))]
+        # With each node go the points that reach it and their gaps to it per side.
+        waiting = [(0 if len(self.dim) else -1, np.arange(len(points)), np.zeros(points.shape))]
         while waiting:
-            node, who = waiting.pop()
-            if not len(who):
-                continue
+            node, who, gaps = waiting.pop()
             if node < 0:
                 for i in who:
-                    cells[i].append(-node - 1)
+                    cells[i].append(-int(node) - 1)
                 continue
-            x = points[who, self.dim[node]]
-            waiting.append((self.low[node], who[x - radius[who] <= self.at[node]]))
-            waiting.append((self.high[node], who[x + radius[who] > self.at[node]]))
+            dim, beyond = self.dim[node], points[who, self.dim[node]] - self.at[node]
+            for child, outside in ((self.low[node], beyond > 0), (self.high[node], beyond <= 0)):
+                moved = gaps.copy()
+                moved[outside, dim] = np.maximum(moved[outside, dim], np.abs(beyond[outside]))
+                touched = (moved * moved).sum(axis=1) <= squares[who]
+                if touched.any():
+                    waiting.append((child, who[touched], moved[touched]))
         return cells
 
 
@@ -109,43 +112,42 @@ def _matrix(vecs: pd.Series) -> np.ndarray:
     return np.array(vecs.tolist(), dtype=float)
 
 
-def _closest(queries: np.ndarray, points: np.ndarray, k: int, same: bool):
-    """Per query the `k` closest points as (squared distance, index), ties in vector order.
+def _closest(queries: np.ndarray, points: np.ndarray, k: int, reach: np.ndarray | None = None):
+    """The `k` closest points of each query within its squared `reach`.
 
-    `points` come sorted, so that a stable sort by distance breaks ties by vector.
-    A matrix product finds the candidates, with a margin for its rounding; only
-    they are measured exactly. With `same` the queries are the points, and a
-    point is not its own neighbour.
+    Returns query index, point index and squared distance, in this order and by
+    distance; equal distances come in vector order, in which the points are
+    sorted. A matrix product finds the candidates, with a margin for its
+    rounding, and only they are measured exactly. Without `reach` the queries are
+    the points, and a point is not its own neighbour.
     """
     norms = np.einsum("ij,ij->i", points, points)
+    found = []
     for start in range(0, len(queries), BATCH):
         batch = queries[start : start + BATCH]
         own = np.einsum("ij,ij->i", batch, batch)
         rough = own[:, None] + norms[None, :] - 2.0 * (batch @ points.T)
-        if same:
+        margin = 2e-9 * (own + norms.max(initial=0.0) + 1e-30)
+        limit = np.full(len(batch), np.finfo(float).max)
+        if reach is None:
             at = np.arange(len(batch))
             rough[at, start + at] = np.inf
-        margin = 1e-9 * (own + norms.max(initial=0.0) + 1e-30)
-        if k < len(points):
-            bound = np.partition(rough, k - 1, axis=1)[:, k - 1] + 2.0 * margin
         else:
-            bound = np.full(len(batch), np.finfo(float).max)
-        for query, row, limit in zip(batch, rough, bound):
-            index = np.flatnonzero(row <= limit)
-            squares = np.zeros(len(index))
-            for d in range(points.shape[1]):
-                gap = query[d] - points[index, d]
-                squares += gap * gap
-            order = np.argsort(squares, kind="stable")[:k]
-            yield squares[order], index[order]
-
-
-def _entries(found, frame: pd.DataFrame) -> list[list[dict]]:
-    vecs, sizes = frame["vec"].tolist(), frame["sizes"].tolist()
-    return [
-        [{"square": s, "vec": vecs[i], "sizes": sizes[i]} for s, i in zip(squares.tolist(), order)]
-        for squares, order in found
-    ]
+            limit = np.minimum(limit, reach[start : start + BATCH])
+        if k < len(points) and not np.all(limit < np.finfo(float).max):
+            limit = np.minimum(limit, np.partition(rough, k - 1, axis=1)[:, k - 1])
+        who, which = np.nonzero(rough <= (limit + margin)[:, None])
+        squares = np.zeros(len(who))
+        for d in range(points.shape[1]):
+            gap = batch[who, d] - points[which, d]
+            squares += gap * gap
+        order = np.lexsort((which, squares, who))
+        who, which, squares = who[order], which[order], squares[order]
+        # Place of each entry among those of its query.
+        place = np.arange(len(who)) - np.searchsorted(who, who)
+        kept = place < k
+        found.append((who[kept] + start, which[kept], squares[kept]))
+    return tuple(np.concatenate(part) for part in zip(*found))
 
 
 def _in_vector_order(frame: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
@@ -170,36 +172,51 @@ def nearest_vectors(vectors: DataFrame, k: int, seed: int = 42) -> DataFrame:
 
     def at_home(frame: pd.DataFrame) -> pd.DataFrame:
         frame, points = _in_vector_order(frame)
-        found = list(_closest(points, points, k, same=True))
-        # A little more than the bound, so that rounding hides no tie.
-        radius = np.array(
-            [math.sqrt(s[-1]) * (1 + 1e-9) if len(s) == k else np.inf for s, _ in found]
-        )
+        who, which, squares = _closest(points, points, k)
+        count = np.bincount(who, minlength=len(points))
+        # The last neighbour's distance bounds the search, if there are `k` of them.
+        # A little more than it, so that rounding hides no tie.
+        reach = np.full(len(points), np.inf)
+        last = np.cumsum(count) - 1
+        reach[count == k] = squares[last[count == k]] * (1 + 1e-9)
         home = int(frame["cell"].iat[0])
-        visits = [[c for c in cells if c != home] for cells in splits.reached(points, radius)]
-        return pd.DataFrame(
-            {"vec": frame["vec"], "near": _entries(found, frame), "visits": visits}
-        )
+        visits = [[c for c in cells if c != home] for cells in splits.reached(points, reach)]
+        ends = np.cumsum(count)
+        vecs, sizes = frame["vec"].tolist(), frame["sizes"].tolist()
+        entries = [
+            {"square": s, "vec": vecs[i], "sizes": sizes[i]} for s, i in zip(squares.tolist(), which)
+        ]
+        near = [entries[end - n : end] for end, n in zip(ends, count)]
+        return pd.DataFrame({"vec": frame["vec"], "near": near, "reach": reach, "visits": visits})
 
     # The rows are few and the work on them is long: fixed task numbers keep
     # Spark from merging cells by their size in bytes.
     tasks = TASKS * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     celled = vectors.withColumn("cell", cell_of("vec"))
     at_home_rows = celled.repartition(tasks, "cell").groupBy("cell").applyInPandas(
-        at_home, f"vec array<double>, near {_NEAR}, visits array<int>"
+        at_home, f"vec array<double>, near array<{_ENTRY}>, reach double, visits array<int>"
     )
 
     def abroad(visitors: pd.DataFrame, hosts: pd.DataFrame) -> pd.DataFrame:
         if not len(visitors) or not len(hosts):
-            return pd.DataFrame({"vec": [], "near": []})
+            return pd.DataFrame({"vec": [], "square": [], "near": [], "sizes": []})
         hosts, points = _in_vector_order(hosts)
-        found = _closest(_matrix(visitors["vec"]), points, k, same=False)
-        return pd.DataFrame({"vec": visitors["vec"], "near": _entries(found, hosts)})
+        who, which, squares = _closest(
+            _matrix(visitors["vec"]), points, k, visitors["reach"].to_numpy()
+        )
+        return pd.DataFrame(
+            {
+                "vec": visitors["vec"].to_numpy()[who],
+                "square": squares,
+                "near": hosts["vec"].to_numpy()[which],
+                "sizes": hosts["sizes"].to_numpy()[which],
+            }
+        )
 
     if cells == 1:
         return at_home_rows.select("vec", F.col("near").alias("neighbours"))
     at_home_rows = cut_lineage(at_home_rows)
-    visitors = at_home_rows.select("vec", F.explode("visits").alias("cell"))
+    visitors = at_home_rows.select("vec", "reach", F.explode("visits").alias("cell"))
     # A cell that many reach is copied, and its visitors shared out.
     desks = visitors.groupBy("cell").agg(
         F.ceil(F.count(F.lit(1)) / F.lit(VISITS)).cast("int").alias("desks")
@@ -211,7 +228,7 @@ def nearest_vectors(vectors: DataFrame, k: int, seed: int = 42) -> DataFrame:
         "desk", F.explode(F.sequence(F.lit(0), F.col("desks") - 1))
     )
     met = (
-        seated.select("vec", "cell", "desk")
+        seated.select("vec", "reach", "cell", "desk")
         .repartition(tasks, "cell", "desk")
         .groupBy("cell", "desk")
         .cogroup(
@@ -219,12 +236,15 @@ def nearest_vectors(vectors: DataFrame, k: int, seed: int = 42) -> DataFrame:
             .repartition(tasks, "cell", "desk")
             .groupBy("cell", "desk")
         )
-        .applyInPandas(abroad, f"vec array<double>, near {_NEAR}")
+        .applyInPandas(
+            abroad, "vec array<double>, square double, near array<double>, sizes array<bigint>"
+        )
     )
-    # Per vector: k entries from each cell it reached.
+    # Per vector: at most k entries from each cell it reached.
+    entry = F.struct("square", F.col("near").alias("vec"), "sizes")
     return (
-        at_home_rows.select("vec", "near")
-        .unionByName(met)
+        at_home_rows.select("vec", F.explode_outer("near").alias("entry"))
+        .unionByName(met.select("vec", entry.alias("entry")))
         .groupBy("vec")
-        .agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("neighbours"))
+        .agg(F.slice(F.array_sort(F.collect_list("entry")), 1, k).alias("neighbours"))
     )

@@ -27,7 +27,7 @@ def read_table(spark: SparkSession, path: str, template: str | None = None) -> D
         return nan_to_null(spark.read.option("header", True).option("inferSchema", True).csv(path))
     fields = {f.name.lower(): f for f in template_schema(template).fields}
     text = T.StructType([T.StructField(c, T.StringType()) for c in _header(spark, path)])
-    raw = strip_column_names(spark.read.option("header", True).schema(text).csv(path))
+    raw = strip_column_names(spark.read.option("header", True).option("enforceSchema", False).schema(text).csv(path))
     require_columns(raw, list(REQUIRED_DATES[template]))
     dates = [c for c in raw.columns if _kind(fields, c) == "date"]
     typed = coerce_dates(raw, dates)
