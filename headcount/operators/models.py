@@ -77,6 +77,8 @@ def assembled(df: DataFrame, features: list[str], label: str | None = None) -> D
 
 def estimator(name: str, params: dict, rows: int, seed: int = 42):
     """The Spark estimator for a model's parameters; `rows` scales the penalty of the first."""
+    if name not in DEFAULTS:
+        raise ValueError(f"no model '{name}'; known: {', '.join(MODELS)}")
     p = DEFAULTS[name] | params
     common = {"featuresCol": _VECTOR, "labelCol": _LABEL}
     if name == "Logistic Regression":
@@ -104,17 +106,15 @@ def estimator(name: str, params: dict, rows: int, seed: int = 42):
             seed=seed,
             **common,
         )
-    if name in ("xgboost", "LightGBM"):
-        return GBTClassifier(
-            maxIter=int(p["n_estimators"]),
-            maxDepth=int(p["max_depth"]),
-            stepSize=float(p["learning_rate"]),
-            subsamplingRate=float(p["subsample"]),
-            featureSubsetStrategy=str(float(p["colsample"])),
-            seed=seed,
-            **common,
-        )
-    raise ValueError(f"no model '{name}'; known: {', '.join(MODELS)}")
+    return GBTClassifier(
+        maxIter=int(p["n_estimators"]),
+        maxDepth=int(p["max_depth"]),
+        stepSize=float(p["learning_rate"]),
+        subsamplingRate=float(p["subsample"]),
+        featureSubsetStrategy=str(float(p["colsample"])),
+        seed=seed,
+        **common,
+    )
 
 
 def train(
