@@ -33,25 +33,21 @@ def _ranges(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _cut_points(df: DataFrame, key: Column, weight: str, ranges: int) -> Column:
-    """Ascending keys that split the distinct keys into `ranges` parts.
+def _cut_points(df: DataFrame, key: Column, hashed: list[str], ranges: int) -> Column:
+    """Ascending keys that split the keys into `ranges` parts.
 
-    The sample is every key whose hash falls below a limit, so each run and
+    The sample is every key whose row hash falls below a limit, so each run and
     each retried task sees the same cut points. Its size is about
     `ranges * OVERSAMPLE`, whatever the table holds.
     """
     wanted = ranges * OVERSAMPLE
-    # The weight takes part so that this branch needs the same columns as the
-    # sums, and Spark can reuse one shuffle for all of them.
-    keys = df.select(F.struct(key.alias("k"), F.col(weight)).alias("e"))
-    hashed = keys.withColumn("h", F.xxhash64("e"))
-    distinct = hashed.agg(F.approx_count_distinct("h")).scalar()
-    limit = F.lit(wanted) / F.greatest(distinct, F.lit(1))
-    share = (F.col("h").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
-    sample = hashed.where(share <= limit)
-    ordered = sample.agg(F.array_sort(F.collect_set("e")).alias("a"))
+    share = (F.xxhash64(*hashed).cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
+    keys = df.select(key.alias("k"), share.alias("share"))
+    rows = keys.agg(F.count_if(F.col("share") >= 0)).scalar()
+    sample = keys.where(F.col("share") <= F.lit(wanted) / F.greatest(rows, F.lit(1)))
+    ordered = sample.agg(F.array_sort(F.collect_set("k")).alias("a"))
     every = F.filter("a", lambda _, i: i % OVERSAMPLE == OVERSAMPLE - 1)
-    return ordered.select(F.transform(every, lambda e: e["k"])).scalar()
+    return ordered.select(every).scalar()
 
 
 def _located(df: DataFrame, key: Column, cuts: Column, ranges: int) -> DataFrame:
@@ -65,19 +61,29 @@ def _located(df: DataFrame, key: Column, cuts: Column, ranges: int) -> DataFrame
     return found.drop("_cuts")
 
 
-def running_sum(df: DataFrame, by: list[str], order: list[str], weight: str) -> DataFrame:
+def running_sum(
+    df: DataFrame, by: list[str], order: list[str], weight: str, aggregated: bool = True
+) -> DataFrame:
     """Add `before` and `total`: the weight sorted ahead of each row, and in all.
 
     Both are taken among the rows with the same `by` values. `order` must be
-    unique within `by`, and none of the columns may be null.
+    unique within `by`, and none of the columns may be null. `aggregated` says
+    that `df` comes straight out of a grouping: then every branch below is made to
+    need all its columns, so that Spark runs its scan and shuffle once for all.
+    Raw rows are scanned by each branch for just the columns it needs.
     """
     ranges = _ranges(df)
     names = [*by, *order]
+    needed = df.columns if aggregated else names
     key = F.struct(*names) if len(names) > 1 else F.col(names[0])
-    located = _located(df, key, _cut_points(df, key, weight, ranges), ranges)
+    located = _located(df, key, _cut_points(df, key, needed, ranges), ranges)
     inner = W.partitionBy("_range", *by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     inside = located.withColumn("_inside", F.coalesce(F.sum(weight).over(inner), F.lit(0)))
-    sums = located.groupBy("_range", *by).agg(F.sum(weight).alias("_sum"))
+    sums = (
+        located.groupBy("_range", *by)
+        .agg(F.sum(weight).alias("_sum"), F.max(F.xxhash64(*needed)).alias("_seen"))
+        .where(F.col("_seen").isNotNull())
+    )
     # At most one row per range for each `by`.
     group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
     earlier = group.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
@@ -108,7 +114,7 @@ def row_positions(df: DataFrame, order: list[str], few_rows: bool = False) -> Da
                 "total": F.count(F.lit(1)).over(whole),
             }
         )
-    ranked = running_sum(df.withColumn("_one", F.lit(1)), [], order, "_one")
+    ranked = running_sum(df.withColumn("_one", F.lit(1)), [], order, "_one", aggregated=False)
     return ranked.withColumn("pos", F.col("before").cast("bigint")).drop("_one", "before")
 
 
@@ -138,25 +144,32 @@ def quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float])
     return ranked.groupBy(*by).agg(*parts).select(*by, *result)
 
 
-def average_ranks(df: DataFrame, value: str, group: str) -> DataFrame:
+def average_ranks(df: DataFrame, value: str, group: str, groups: list | None = None) -> DataFrame:
     """One row per (value, group): `n` rows of it, `ties` rows of that value, `rank`.
 
-    `rank` is the mean rank, from 1, of the rows that share the value.
+    `rank` is the mean rank, from 1, of the rows that share the value. With the
+    few `groups` named, one aggregate counts them all side by side.
     """
-    counts = (
-        _present(df, [value, group])
-        .groupBy(F.col(value).alias("value"), F.col(group).alias("group"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    # One entry per group: the number of groups bounds each list.
-    values = counts.groupBy("value").agg(
-        F.sum("n").alias("ties"), F.collect_list(F.struct("group", "n")).alias("groups")
-    )
+    present = _present(df, [value, group])
+    v, g = F.col(value).alias("value"), F.col(group)
+    if groups:
+        wide = present.groupBy(v).agg(
+            F.count_if(g.isin(groups)).alias("ties"),
+            *[F.count_if(g == label).alias(f"_{i}") for i, label in enumerate(groups)],
+        )
+        counted = [F.struct(F.lit(x).alias("group"), F.col(f"_{i}").alias("n")) for i, x in enumerate(groups)]
+        values = wide.where("ties > 0")
+        listed = F.filter(F.array(*counted), lambda c: c["n"] > 0)
+    else:
+        counts = present.groupBy(v, g.alias("group")).agg(F.count(F.lit(1)).alias("n"))
+        # One entry per group: the number of groups bounds each list.
+        values = counts.groupBy("value").agg(
+            F.sum("n").alias("ties"), F.collect_list(F.struct("group", "n")).alias("_groups")
+        )
+        listed = F.col("_groups")
     ranked = running_sum(values, [], ["value"], "ties")
     rank = F.col("before") + (F.col("ties") + 1) / F.lit(2.0)
-    return ranked.select(
-        "value", "ties", rank.alias("rank"), F.inline("groups").alias("group", "n")
-    )
+    return ranked.select("value", "ties", rank.alias("rank"), F.inline(listed).alias("group", "n"))
 
 
 def sliding(df: DataFrame, before: int, after: int, columns: dict, block: int = BLOCK_ROWS) -> DataFrame:

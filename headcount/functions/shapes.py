@@ -27,10 +27,19 @@ def melt(df: DataFrame, columns: list[str], kind: str, keep: list[str] | None =
     return cast.unpivot(keep, [F.col(f"`{c}`") for c in columns], "column", "value")
 
 
-def per_column(stats: DataFrame, fields: list[str]) -> Column:
-    """A table with one row per column name, as a map from name to the fields.
+def with_stats(df: DataFrame, stats: DataFrame, columns: list[str], fields: list[str]) -> DataFrame:
+    """Add `_stats`: for each column a struct of its fields, the same in every row.
 
-    Used as a scalar subquery: the map has one entry per schema column.
+    `stats` has one row per column name. It becomes one scalar subquery, which
+    the row expressions then share.
     """
-    entry = F.struct("column", F.struct(*fields))
-    return stats.agg(F.map_from_entries(F.collect_list(entry))).scalar()
+
+    def one(name: str, field: str) -> Column:
+        return F.max(F.when(F.col("column") == name, F.col(field))).alias(field)
+
+    wide = stats.agg(*[F.struct(*[one(c, f) for f in fields]).alias(c) for c in columns])
+    return df.withColumn("_stats", wide.select(F.struct(*[F.col(f"`{c}`") for c in columns])).scalar())
+
+
+def stat(column: str, field: str) -> Column:
+    return F.col("_stats")[column][field]

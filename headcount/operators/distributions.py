@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from headcount.functions.ordering import hash_order
-from headcount.functions.shapes import melt, per_column
+from headcount.functions.shapes import stat, with_stats
 from headcount.operators.quality import fences
 
 # A normal kernel this many bandwidths away adds less than a double resolves.
@@ -83,24 +83,29 @@ def rug(df: DataFrame, column: str) -> DataFrame:
 
 def box_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     """Per column: quartiles, fences, whiskers (extremes inside the fences), outliers."""
-    bounds = fences(df, columns, {"median": 0.5})
-    found = per_column(bounds, ["lower", "upper"])
+    fields = ["q1", "median", "q3", "lower", "upper"]
+    known = with_stats(df, fences(df, columns, {"median": 0.5}), columns, fields)
     measures = []
-    for c in columns:
+    for i, c in enumerate(columns):
         value = F.col(f"`{c}`").cast("double")
-        inside = value.between(found[c]["lower"], found[c]["upper"])
-        measures.append(
-            F.struct(
-                F.lit(c).alias("column"),
-                F.min(F.when(inside, value)).alias("whisker_low"),
-                F.max(F.when(inside, value)).alias("whisker_high"),
-                F.count_if(~inside).alias("outliers"),
-            )
+        inside = value.between(stat(c, "lower"), stat(c, "upper"))
+        measures += [
+            F.min(F.when(inside, value)).alias(f"_{i}_low"),
+            F.max(F.when(inside, value)).alias(f"_{i}_high"),
+            F.count_if(~inside).alias(f"_{i}_out"),
+        ]
+    reached = known.agg(F.first("_stats").alias("_stats"), *measures)
+    rows = [
+        F.struct(
+            F.lit(c).alias("column"),
+            *[stat(c, f).alias(f) for f in fields],
+            F.col(f"_{i}_low").alias("whisker_low"),
+            F.col(f"_{i}_high").alias("whisker_high"),
+            F.col(f"_{i}_out").alias("outliers"),
         )
-    reached = df.agg(F.array(*measures).alias("m")).select(F.inline("m"))
-    return bounds.join(reached, "column").select(
-        "column", "q1", "median", "q3", "lower", "upper", "whisker_low", "whisker_high", "outliers"
-    )
+        for i, c in enumerate(columns)
+    ]
+    return reached.select(F.inline(F.array(*rows)))
 
 
 def hierarchy_counts(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -17,6 +17,8 @@ from headcount.functions.special import chi2_p, f_p, f_tail, t_p, u_p
 
 # Fixed value: the level below which a difference counts.
 ALPHA = 0.05
+# Groups that rank tests count side by side.
+FEW_GROUPS = 16
 # The additive fit solves one equation per level of either factor.
 MAX_LEVELS = 2000
 
@@ -63,7 +65,11 @@ def t_test_p(df: DataFrame, value: str, group: str) -> DataFrame:
 
 
 def _rank_sums(df: DataFrame, value: str, group: str) -> DataFrame:
-    ranks = average_ranks(df.select(value, group), value, group)
+    # The groups' names, if they are few; otherwise they are counted as rows.
+    named = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select(group).distinct()
+    found = sorted(r[0] for r in named.limit(FEW_GROUPS + 1).collect())
+    few = found if len(found) <= FEW_GROUPS else None
+    ranks = average_ranks(df.select(value, group), value, group, few)
     return ranks.groupBy("group").agg(
         F.sum("n").alias("n"),
         F.sum(F.col("n") * F.col("rank")).alias("ranks"),

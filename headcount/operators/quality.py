@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from headcount.functions.ordering import quantiles
-from headcount.functions.shapes import columns_by_kind, melt, per_column
+from headcount.functions.shapes import columns_by_kind, melt, stat, with_stats
 
 # The actions on missing values and the percentages that end them.
 NO_ACTION = "No action required"
@@ -74,41 +74,34 @@ def medians(df: DataFrame, columns: list[str]) -> DataFrame:
     return quantiles(melt(df, columns, "double"), ["column"], "value", {"median": 0.5})
 
 
-def _fill(df: DataFrame, columns: list[str], fills: dict[str, Column]) -> DataFrame:
-    return df.withColumns({c: F.coalesce(F.col(f"`{c}`"), fills[c]) for c in columns})
-
-
 def impute_mode(df: DataFrame, columns: list[str]) -> DataFrame:
     """Nulls of string and date columns become the column's mode."""
     if not columns:
         return df
-    found = per_column(modes(df, columns), ["mode"])
-    return _fill(df, columns, {c: found[c]["mode"].cast(df.schema[c].dataType) for c in columns})
+    known = with_stats(df, modes(df, columns), columns, ["mode"])
+    fills = {c: stat(c, "mode").cast(df.schema[c].dataType) for c in columns}
+    return known.withColumns({c: F.coalesce(F.col(f"`{c}`"), fills[c]) for c in columns}).drop("_stats")
 
 
 def impute_median(df: DataFrame, columns: list[str]) -> DataFrame:
     """Nulls of numeric columns become the column's exact median."""
     if not columns:
         return df
-    found = per_column(medians(df, columns), ["median"])
-    return _fill(
-        df.withColumns({c: F.col(f"`{c}`").cast("double") for c in columns}),
-        columns,
-        {c: found[c]["median"] for c in columns},
-    )
+    known = with_stats(df, medians(df, columns), columns, ["median"])
+    return known.withColumns(
+        {c: F.coalesce(F.col(f"`{c}`").cast("double"), stat(c, "median")) for c in columns}
+    ).drop("_stats")
 
 
 def impute_mean(df: DataFrame, columns: list[str]) -> DataFrame:
     """Nulls of numeric columns become the column's mean."""
     if not columns:
         return df
-    means = df.agg(*[F.avg(F.col(f"`{c}`")).alias(c) for c in columns])
-    found = means.select(F.struct(*[F.col(f"`{c}`") for c in columns])).scalar()
-    return _fill(
-        df.withColumns({c: F.col(f"`{c}`").cast("double") for c in columns}),
-        columns,
-        {c: found[c] for c in columns},
-    )
+    means = df.agg(F.struct(*[F.avg(F.col(f"`{c}`")).alias(c) for c in columns])).scalar()
+    known = df.withColumn("_means", means)
+    return known.withColumns(
+        {c: F.coalesce(F.col(f"`{c}`").cast("double"), F.col("_means")[c]) for c in columns}
+    ).drop("_means")
 
 
 def clean(
@@ -149,18 +142,27 @@ def fences(df: DataFrame, columns: list[str], extra: dict[str, float] | None = N
     return _fences(quantiles(melt(df, columns, "double"), ["column"], "value", QUARTILES | (extra or {})))
 
 
-def _outside(value: Column, bounds: Column) -> Column:
-    return (value < bounds["lower"]) | (value > bounds["upper"])
+def _outside(column: str) -> Column:
+    value = F.col(f"`{column}`").cast("double")
+    return (value < stat(column, "lower")) | (value > stat(column, "upper"))
 
 
 def iqr_bounds(df: DataFrame, columns: list[str]) -> DataFrame:
     """Per column: quartiles, fences and the number of values beyond a fence."""
-    bounds = fences(df, columns)
-    found = per_column(bounds, ["lower", "upper"])
-    counts = df.agg(
-        *[F.count_if(_outside(F.col(f"`{c}`"), found[c])).alias(c) for c in columns]
-    ).unpivot([], [F.col(f"`{c}`") for c in columns], "column", "outliers")
-    return bounds.join(counts, "column")
+    fields = ["q1", "q3", "lower", "upper"]
+    known = with_stats(df, fences(df, columns), columns, fields)
+    counts = known.agg(
+        F.first("_stats").alias("_stats"), *[F.count_if(_outside(c)).alias(f"_{i}") for i, c in enumerate(columns)]
+    )
+    rows = [
+        F.struct(
+            F.lit(c).alias("column"),
+            *[stat(c, f).alias(f) for f in fields],
+            F.col(f"_{i}").alias("outliers"),
+        )
+        for i, c in enumerate(columns)
+    ]
+    return counts.select(F.inline(F.array(*rows)))
 
 
 def iqr_remove(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -181,13 +183,16 @@ def iqr_remove(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def iqr_impute(df: DataFrame, columns: list[str]) -> DataFrame:
     """Replace outliers by the column's median, taken with the outliers still in."""
-    found = per_column(fences(df, columns, {"median": 0.5}), ["lower", "upper", "median"])
-
-    def repaired(name: str) -> Column:
-        value = F.col(f"`{name}`").cast("double")
-        return F.when(_outside(value, found[name]), found[name]["median"]).otherwise(value)
-
-    return df.withColumns({c: repaired(c) for c in columns})
+    if not columns:
+        return df
+    found = fences(df, columns, {"median": 0.5})
+    known = with_stats(df, found, columns, ["lower", "upper", "median"])
+    return known.withColumns(
+        {
+            c: F.when(_outside(c), stat(c, "median")).otherwise(F.col(f"`{c}`").cast("double"))
+            for c in columns
+        }
+    ).drop("_stats")
 
 
 def handle_outliers(df: DataFrame, columns: list[str], method: str = "None") -> DataFrame:

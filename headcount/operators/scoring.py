@@ -34,7 +34,7 @@ def classification_metrics(df: DataFrame, label: str, prediction: str) -> DataFr
 
 def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """Area under the ROC curve, from the mean ranks of the scores; exact with ties."""
-    ranks = average_ranks(df.select(label, score), score, label)
+    ranks = average_ranks(df.select(label, score), score, label, [0, 1])
     positive = F.col("group") == 1
     sums = ranks.agg(
         F.sum(F.when(positive, F.col("n") * F.col("rank"))).alias("ranks"),

@@ -43,7 +43,7 @@ def test_ranges_split_a_hot_group(spark):
     """No range holds a share of the distinct keys far above its part."""
     df = spark.range(20_000).select(F.lit("hot").alias("g"), F.col("id").alias("v"), F.lit(1).alias("n"))
     key = F.struct("g", "v")
-    found = ordering._located(df, key, ordering._cut_points(df, key, "n", 8), 8)
+    found = ordering._located(df, key, ordering._cut_points(df, key, df.columns, 8), 8)
     sizes = [r["count"] for r in found.groupBy("_range").count().collect()]
     assert sum(sizes) == 20_000 and max(sizes) < 3 * 20_000 / 8
 
