@@ -22,14 +22,16 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     """
     value = df.select(F.col(f"`{column}`").cast("double").alias("x")).where("x is not null")
     extent = value.agg(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi"))).scalar()
-    lo, width = extent["lo"], (extent["hi"] - extent["lo"]) / F.lit(float(bins))
+    lo = F.col("_extent")["lo"]
+    width = (F.col("_extent")["hi"] - lo) / F.lit(float(bins))
     found = F.when(width > 0, F.floor((F.col("x") - lo) / width)).otherwise(F.lit(0))
     counts = (
-        value.groupBy(F.least(found, F.lit(bins - 1)).cast("int").alias("bin"))
+        value.withColumn("_extent", extent)
+        .groupBy(F.least(found, F.lit(bins - 1)).cast("int").alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
     every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
-    return every.join(counts, "bin", "left").select(
+    return every.join(counts, "bin", "left").withColumn("_extent", extent).select(
         "bin",
         (lo + width * F.col("bin")).alias("start"),
         (lo + width * (F.col("bin") + 1)).alias("end"),
@@ -53,10 +55,12 @@ def density(df: DataFrame, column: str, points: int = 200) -> DataFrame:
             F.count("x").cast("double").alias("n"),
         )
     ).scalar()
-    lo, n = moments["lo"], moments["n"]
-    step = (moments["hi"] - lo) / F.lit(float(points - 1))
-    width = moments["sd"] * F.pow(n, F.lit(-0.2))
-    fixed = value.withColumns({"lo": lo, "step": step, "width": width})
+    m = F.col("_moments")
+    step = (m["hi"] - m["lo"]) / F.lit(float(points - 1))
+    width = m["sd"] * F.pow(m["n"], F.lit(-0.2))
+    fixed = value.withColumn("_moments", moments).withColumns(
+        {"lo": m["lo"], "step": step, "width": width}
+    )
     reach = F.col("width") * F.lit(KERNEL_REACH)
     first = F.greatest(F.floor((F.col("x") - reach - F.col("lo")) / F.col("step")), F.lit(0))
     last = F.least(F.ceil((F.col("x") + reach - F.col("lo")) / F.col("step")), F.lit(points - 1))
@@ -68,10 +72,10 @@ def density(df: DataFrame, column: str, points: int = 200) -> DataFrame:
         F.sum(F.exp(z * z * F.lit(-0.5))).alias("s")
     )
     every = df.sparkSession.range(points).select(F.col("id").cast("int").alias("point"))
-    scale = n * width * F.sqrt(F.lit(2.0) * F.pi())
-    return every.join(sums, "point", "left").select(
+    scale = m["n"] * width * F.sqrt(F.lit(2.0) * F.pi())
+    return every.join(sums, "point", "left").withColumn("_moments", moments).select(
         "point",
-        (lo + step * F.col("point")).alias("x"),
+        (m["lo"] + step * F.col("point")).alias("x"),
         (F.coalesce(F.col("s"), F.lit(0.0)) / scale).alias("density"),
     )
 

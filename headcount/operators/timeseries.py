@@ -39,9 +39,13 @@ def _line(positioned: DataFrame, value: str) -> Column:
 
 def linear_trend(df: DataFrame, order: list[str], value: str, few_rows: bool = False) -> DataFrame:
     """Add the row position and the least-squares line over it."""
-    positioned = row_positions(df, order, few_rows)
-    line = _line(positioned, value)
-    return positioned.drop("total").withColumn("fitted", line["intercept"] + line["slope"] * F.col("pos"))
+    positioned = row_positions(df, order, few_rows).drop("total")
+    line = F.col("_line")
+    return (
+        positioned.withColumn("_line", _line(positioned, value))
+        .withColumn("fitted", line["intercept"] + line["slope"] * F.col("pos"))
+        .drop("_line")
+    )
 
 
 def trend_summary(df: DataFrame, order: list[str], value: str, few_rows: bool = False) -> DataFrame:

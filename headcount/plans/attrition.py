@@ -16,6 +16,7 @@ from headcount.operators.filters import (
     quick_filter,
 )
 from headcount.operators.quality import clean, handle_outliers
+from headcount.session import cut_lineage
 
 
 def prepare(
@@ -24,11 +25,19 @@ def prepare(
     exclude: tuple[str, ...] = ("DOE",),
     outlier_columns: list[str] | None = None,
     outliers: str = "None",
+    store: bool = True,
 ) -> DataFrame:
-    """Derive tenure and age, apply the null policy (not to the exit date), treat outliers."""
+    """Derive tenure and age, apply the null policy (not to the exit date), treat outliers.
+
+    The result is stored, since the view reads it many times.
+    """
     measured = with_attrition_measures(df, as_of)
     cleaned = clean(measured, [c for c in measured.columns if c not in exclude])
-    return handle_outliers(cleaned, outlier_columns or [], outliers)
+    if outliers == "Remove" and outlier_columns:
+        # Each column's fences are a job of their own.
+        cleaned = cut_lineage(cleaned)
+    ready = handle_outliers(cleaned, outlier_columns or [], outliers)
+    return cut_lineage(ready) if store else ready
 
 
 def leavers(df: DataFrame) -> DataFrame:

@@ -48,8 +48,11 @@ def shared_path(spark: SparkSession, stem: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` to the reliable checkpoint folder and read it back from there."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+    """Write `df` below the shared folder and read it back from there.
+
+    For tables that later steps read many times: a lost executor costs none of
+    the work before, and readers load only the columns they need.
+    """
+    path = shared_path(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
