@@ -100,13 +100,13 @@ def _(spark, d):
 
 def _moving_sql(series: str, order: str, value: str, rows: int, keep: str) -> str:
     return f"""WITH s AS ({series}) SELECT {keep}, round(avg({value}) OVER (ORDER BY {order}
-      ROWS BETWEEN {rows - 1} PRECEDING AND CURRENT ROW), 4) AS smoothed FROM s"""
+      ROWS BETWEEN {rows - 1} PRECEDING AND CURRENT ROW), 6) AS smoothed FROM s"""
 
 
 @query("moving_average", _moving_sql(series_sql("daily"), "period", "value", 7, "period"))
 def _(spark, d):
     found = timeseries.moving_average(resampled(spark, d, "daily"), ["period"], "value", 7, few_rows=True)
-    return found.select("period", F.round("smoothed", 4).alias("smoothed"))
+    return found.select("period", F.round("smoothed", 6).alias("smoothed"))
 
 
 @query(
@@ -116,7 +116,7 @@ def _(spark, d):
 def _(spark, d):
     rows = table(spark, d, "events").select("event_id", "ts", "value")
     found = timeseries.moving_average(rows, ["ts", "event_id"], "value", 30)
-    return found.select("event_id", F.round("smoothed", 4).alias("smoothed"))
+    return found.select("event_id", F.round("smoothed", 6).alias("smoothed"))
 
 
 # --- seasonal decomposition -------------------------------------------------
