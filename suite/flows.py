@@ -73,8 +73,8 @@ def _(spark, d):
         m AS (SELECT period, avg(value) OVER (ORDER BY period ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS value FROM s),
         p AS (SELECT *, row_number() OVER (ORDER BY period) - 1 AS pos FROM m),
         l AS (SELECT regr_slope(value, pos) AS a, regr_intercept(value, pos) AS c FROM p)
-        SELECT period, pos, round(value, 4) AS value, round(c + a * pos, 4) AS fitted FROM p, l""",
+        SELECT period, pos, round(value, 6) AS value, round(c + a * pos, 6) AS fitted FROM p, l""",
 )
 def _(spark, d):
     found = exploration.time_series(table(spark, d, "orders"), "o_orderdate", "o_totalprice", "monthly", 3)
-    return rounded(found.trend, 4)
+    return rounded(found.trend)

@@ -133,8 +133,8 @@ def _season_sql(series: str, order: str, keep: str, period: int) -> str:
               / {period}::DOUBLE END AS trend FROM p WINDOW o AS (ORDER BY pos)),
       a AS (SELECT pos % {period} AS k, avg(value - trend) AS mean FROM m GROUP BY 1),
       c AS (SELECT k, mean - (SELECT avg(mean) FROM a) AS seasonal FROM a)
-      SELECT {keep}, pos, round(value, 4) AS observed, round(trend, 4) AS trend,
-        round(seasonal, 4) AS seasonal, round(value - trend - seasonal, 4) AS residual
+      SELECT {keep}, pos, round(value, 6) AS observed, round(trend, 6) AS trend,
+        round(seasonal, 6) AS seasonal, round(value - trend - seasonal, 6) AS residual
       FROM m JOIN c ON c.k = m.pos % {period}"""
 
 
@@ -144,7 +144,7 @@ for _grain, _period in (("monthly", 12), ("quarterly", 4), ("daily", 7)):
         _season_sql(series_sql(_grain), "period", "period", _period),
     )(
         lambda spark, d, g=_grain: rounded(
-            timeseries.seasonal_decompose(resampled(spark, d, g), ["period"], "value", g, few_rows=True), 4
+            timeseries.seasonal_decompose(resampled(spark, d, g), ["period"], "value", g, few_rows=True)
         )
     )
 
@@ -155,7 +155,7 @@ for _grain, _period in (("monthly", 12), ("quarterly", 4), ("daily", 7)):
 )
 def _(spark, d):
     rows = table(spark, d, "events").select("event_id", "ts", "value")
-    return rounded(timeseries.seasonal_decompose(rows, ["ts", "event_id"], "value"), 4)
+    return rounded(timeseries.seasonal_decompose(rows, ["ts", "event_id"], "value"))
 
 
 # --- tests of group differences ---------------------------------------------
