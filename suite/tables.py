@@ -9,7 +9,7 @@ from headcount.functions.text import contains_ci, encode_target
 from headcount.operators import columns, filters, quality
 from headcount.session import shared_path
 from headcount.sources import tables
-from suite.views import AS_OF, candidates, employees, table, with_views
+from suite.views import AS_OF, candidates, employees, with_views
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
