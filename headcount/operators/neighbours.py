@@ -23,8 +23,11 @@ CELL_ROWS = 2000
 SAMPLED = 16
 # Visits to one cell that one task handles.
 VISITS = 20_000
-# Vectors compared with a cell at a time, to bound memory.
-BATCH = 256
+# The splits and their sample are held by the driver and sent to each task. Beyond
+# this many cells it is the cells that grow with the table, not the splits.
+MAX_CELLS = 20_000
+# Distances that a task holds at a time.
+BATCH_DISTANCES = 512_000
 
 # Tasks per shuffle partition.
 TASKS = 4
@@ -102,7 +105,7 @@ def _split(sample: np.ndarray, cells: int) -> Splits:
 
 
 def _sample(vectors: DataFrame, rows: int, wanted: int, seed: int) -> np.ndarray:
-    """About `wanted` vectors whose hash is lowest; the number of cells bounds them."""
+    """About `wanted` vectors whose hash is lowest; `MAX_CELLS` bounds them."""
     share = (F.xxhash64("vec", F.lit(seed)).cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
     found = vectors.where(share <= wanted / rows).select("vec").orderBy("vec").collect()
     return np.array([r["vec"] for r in found], dtype=float)
@@ -123,8 +126,9 @@ def _closest(queries: np.ndarray, points: np.ndarray, k: int, reach: np.ndarray
     """
     norms = np.einsum("ij,ij->i", points, points)
     found = []
-    for start in range(0, len(queries), BATCH):
-        batch = queries[start : start + BATCH]
+    size = max(1, BATCH_DISTANCES // len(points))
+    for start in range(0, len(queries), size):
+        batch = queries[start : start + size]
         own = np.einsum("ij,ij->i", batch, batch)
         rough = own[:, None] + norms[None, :] - 2.0 * (batch @ points.T)
         margin = 2e-9 * (own + norms.max(initial=0.0) + 1e-30)
@@ -133,7 +137,7 @@ def _closest(queries: np.ndarray, points: np.ndarray, k: int, reach: np.ndarray
             at = np.arange(len(batch))
             rough[at, start + at] = np.inf
         else:
-            limit = np.minimum(limit, reach[start : start + BATCH])
+            limit = np.minimum(limit, reach[start : start + size])
         if k < len(points) and not np.all(limit < np.finfo(float).max):
             limit = np.minimum(limit, np.partition(rough, k - 1, axis=1)[:, k - 1])
         who, which = np.nonzero(rough <= (limit + margin)[:, None])
@@ -163,7 +167,7 @@ def nearest_vectors(vectors: DataFrame, k: int, seed: int = 42) -> DataFrame:
     passed along); it is read several times, so it should be a stored table.
     """
     rows = vectors.count()
-    cells = max(1, math.ceil(rows / CELL_ROWS))
+    cells = min(MAX_CELLS, max(1, math.ceil(rows / CELL_ROWS)))
     splits = _split(_sample(vectors, rows, cells * SAMPLED, seed) if cells > 1 else np.empty((0, 1)), cells)
 
     @F.pandas_udf("int")
