@@ -56,3 +56,30 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = shared_path(df.sparkSession, "stored")
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+class Scratch:
+    """Tables below one folder of the shared folder, each dropped once superseded."""
+
+    def __init__(self, spark: SparkSession, stem: str):
+        self.spark = spark
+        self.root = shared_path(spark, stem)
+        self._made = 0
+
+    def keep(self, df: DataFrame) -> tuple[DataFrame, str]:
+        """Write `df` and read it back; the path is for `drop`."""
+        self._made += 1
+        path = f"{self.root}/{self._made:04d}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path), path
+
+    def drop(self, path: str | None) -> None:
+        """Remove a table that nothing reads any more."""
+        if path:
+            remove(self.spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder through the file system that holds it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
