@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from headcount.llm import sharding
+from headcount.llm import sharding, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,8 +18,15 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_listing(table(spark, sf_dir, "documents"), 24)
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprints of all documents and their components at two bits."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, bits=2)
+    return found.select("doc_id", "fingerprint", "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sharding": op5_sharding,
+    "op6_simhash": op6_simhash,
 }
 
 ORACLES: dict[str, str] = {}
