@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from headcount.llm import sharding, simhash
+from headcount.llm import mixing, sharding, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,9 +24,18 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, mixed to 150 % of their words at weights 5, 2, 1."""
+    found = mixing.draw(table(spark, sf_dir, "documents"), (5, 2, 1), share=1.5, most=2.0)
+    return found.select(
+        "doc_id", "size", "source_size", "target", "taken", "source", "copies", "shards"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sharding": op5_sharding,
     "op6_simhash": op6_simhash,
+    "op7_mixing": op7_mixing,
 }
 
 ORACLES: dict[str, str] = {}
