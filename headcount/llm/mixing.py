@@ -31,6 +31,9 @@ BLOCK_ROWS = 50_000
 #: Blocks that an output shard draws, on average.
 SHARD_BLOCKS = 32
 
+#: Sources up to which their table is broadcast; it has a row per source.
+BROADCAST_SOURCES = 50_000
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -98,10 +101,15 @@ def targets(sized: DataFrame, weights: tuple[float, ...], share: float, most: fl
     )
 
 
-def _tapes(sized: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
+def _small(per_source: DataFrame, count: int) -> DataFrame:
+    """A table with a row per source, to be broadcast if `count` of them are few."""
+    return F.broadcast(per_source) if count <= BROADCAST_SOURCES else per_source
+
+
+def _tapes(sized: DataFrame, sources: DataFrame, count: int, seed: int) -> DataFrame:
     """Each row's start on its tape: long and short documents of a source have one each."""
     placed = (
-        sized.join(sources, sized["source"].eqNullSafe(sources["source"]))
+        sized.join(_small(sources, count), sized["source"].eqNullSafe(sources["source"]))
         .drop(sources["source"])
         .withColumn("long", F.col("size") * F.col("rows") > F.col("source_size"))
         .withColumn("order", F.xxhash64(F.lit(seed), "doc_id", "mark", "size"))
@@ -175,7 +183,8 @@ def draw(
     scratch = Scratch(docs.sparkSession, "mixing")
     sized, _ = scratch.keep(sizes(docs, identity or ["text"]))
     sources, _ = scratch.keep(targets(sized, weights, share, most))
-    tape, _ = scratch.keep(_tapes(sized, sources, seed))
+    count = sources.count()
+    tape, _ = scratch.keep(_tapes(sized, sources, count, seed))
     goals = tape.groupBy("place").agg(
         F.coalesce(F.max(F.when(F.col("long"), F.col("tape"))), F.lit(0)).alias("long_words")
     )
@@ -188,7 +197,7 @@ def draw(
     )
     given = (
         tape.where("long")
-        .join(plan.select("place", "long_target"), "place")
+        .join(_small(plan.select("place", "long_target"), count), "place")
         .groupBy("place")
         .agg(F.sum(_copies(F.col("long_target"), most) * F.col("size")).alias("given"))
     )
@@ -197,7 +206,7 @@ def draw(
     )
     goal = F.when(F.col("long"), F.col("long_target")).otherwise(F.col("short_target"))
     taken = (
-        tape.join(plan, "place")
+        tape.join(_small(plan, count), "place")
         .withColumn("copies", _copies(goal, most))
         .select(
             "doc_id", "source", "place", "size", "mark", "order", "source_size", "target", "copies",
@@ -211,7 +220,7 @@ def draw(
         block = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("order"), copy), quota)
         return F.size(F.filter("edges", lambda edge: edge <= block))
 
-    return taken.join(leaves, "place").select(
+    return taken.join(_small(leaves, count), "place").select(
         "doc_id",
         "source",
         "size",
