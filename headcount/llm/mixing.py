@@ -339,22 +339,28 @@ def splitting_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     )
 
 
-def mixture(docs: DataFrame, shards: int = 16, seed: int = 7, **law: object) -> DataFrame:
+def mixture(
+    docs: DataFrame,
+    shards: int = 16,
+    seed: int = 7,
+    names: tuple[str, str] = ("shard", "shuffle_key"),
+    **law: object,
+) -> DataFrame:
     """The mix itself: the rows of `docs`, each as often as it is taken.
 
-    Adds shard and shuffle_key (the order inside a shard); columns of these names are
+    Adds under `names` the shard and the order inside it; columns of these names are
     replaced. Equal rows travel once and are repeated by the draw. Columns must have a
     hash, which rules out maps.
     """
-    names = docs.columns
+    own = docs.columns
     key = ["doc_id", "source", "mark"]
-    plan = draw(docs, shards=shards, seed=seed, identity=names, **law)
+    plan = draw(docs, shards=shards, seed=seed, identity=own, **law)
     rows = (
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"),
             F.col("source").cast("string").alias("source"),
-            F.xxhash64(*names).alias("mark"),
-            F.struct(*names).alias("row"),
+            F.xxhash64(*own).alias("mark"),
+            F.struct(*own).alias("row"),
         )
         .groupBy(*key)
         .agg(F.first("row").alias("row"))
@@ -365,8 +371,8 @@ def mixture(docs: DataFrame, shards: int = 16, seed: int = 7, **law: object) ->
         rows.join(plan, same[0] & same[1] & same[2])
         .select("row", "mark", F.posexplode("shards").alias("copy", "drawn"))
         .select(
-            *[F.col("row")[n].alias(n) for n in names if n not in ("shard", "shuffle_key")],
-            F.col("drawn").alias("shard"),
-            F.xxhash64(F.lit(seed + 2), "row.doc_id", "mark", "copy", "drawn").alias("shuffle_key"),
+            *[F.col("row")[n].alias(n) for n in own if n not in names],
+            F.col("drawn").alias(names[0]),
+            F.xxhash64(F.lit(seed + 2), "row.doc_id", "mark", "copy", "drawn").alias(names[1]),
         )
     )

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from headcount.llm import decontaminate, mixing, sharding, simhash
+from headcount.llm import decontaminate, mixing, quality, sharding, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,12 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "windows", "of")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents graded by the model fitted on the labelled ones."""
+    found = quality.graded(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "expected_grade", "tail_probability", "keep")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards by jump consistent hashing of doc_id."""
     return sharding.shard_listing(table(spark, sf_dir, "documents"), 24)
@@ -42,6 +48,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op3_quality": op3_quality,
     "op5_sharding": op5_sharding,
     "op6_simhash": op6_simhash,
     "op7_mixing": op7_mixing,
