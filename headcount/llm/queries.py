@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from headcount.llm import decontaminate, mixing, pii, quality, sharding, simhash
+from headcount.llm import decontaminate, mixing, pii, quality, sharding, simhash, tokens
+from headcount.session import shared_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +28,20 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "expected_grade", "tail_probability", "keep")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after a batch of first figures for all documents and one of exact counts.
+
+    Both batches are delivered twice, which changes nothing.
+    """
+    docs = table(spark, sf_dir, "documents")
+    first, exact = tokens.estimated(docs), tokens.counted(docs)
+    rollup = tokens.Rollup(spark, shared_path(spark, "token-counts"))
+    for _ in range(2):
+        rollup.commit("first-figures", tokens.signed(first, 1))
+        rollup.commit("exact-counts", tokens.revised(first, exact))
+    return rollup.totals()
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards by jump consistent hashing of doc_id."""
     return sharding.shard_listing(table(spark, sf_dir, "documents"), 24)
@@ -57,6 +72,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op3_quality": op3_quality,
+    "op4_token_counts": op4_token_counts,
     "op5_sharding": op5_sharding,
     "op6_simhash": op6_simhash,
     "op7_mixing": op7_mixing,
