@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from headcount.llm import decontaminate, mixing, pii, quality, sharding, simhash, tokens
+from headcount.llm import decontaminate, html, mixing, pii, quality, sharding, simhash, tokens
 from headcount.session import shared_path
 
 
@@ -69,6 +69,11 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op3_quality": op3_quality,
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash": op6_simhash,
     "op7_mixing": op7_mixing,
     "op9_pii": op9_pii,
+    "op10_html": op10_html,
 }
 
 ORACLES: dict[str, str] = {}
