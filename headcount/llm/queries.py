@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from headcount.llm import decontaminate, html, mixing, pii, quality, sharding, simhash, tokens
+from headcount.llm import ann, decontaminate, html, mixing, pii, quality, sharding, simhash, tokens
 from headcount.session import shared_path
 
 
@@ -61,6 +62,12 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of all embeddings to every embedding whose id is divisible by 20."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    return ann.nearest(rows, rows.where(F.col("vec_id") % 20 == 0), k=20)
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in all documents, and the terms that disclose it."""
     found = pii.find(table(spark, sf_dir, "documents"))
@@ -81,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sharding": op5_sharding,
     "op6_simhash": op6_simhash,
     "op7_mixing": op7_mixing,
+    "op8_neighbours": op8_neighbours,
     "op9_pii": op9_pii,
     "op10_html": op10_html,
 }
