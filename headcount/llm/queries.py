@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headcount.llm import ann, decontaminate, html, mixing, pii, quality, sharding, simhash, tokens
+from headcount.llm import ann, decontaminate, html, mixing, pii, quality, sharding, simhash, suffixes, tokens
 from headcount.session import shared_path
 
 
@@ -23,6 +23,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "windows", "of")
 
 
+def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes that repeat earlier strings of 100 bytes."""
+    return suffixes.repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents graded by the model fitted on the labelled ones."""
     found = quality.graded(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -83,6 +88,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_suffixes": op2_suffixes,
     "op3_quality": op3_quality,
     "op4_token_counts": op4_token_counts,
     "op5_sharding": op5_sharding,
