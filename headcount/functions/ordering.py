@@ -17,8 +17,14 @@ from pyspark.sql import functions as F
 OVERSAMPLE = 16
 # Rows per block of a sliding window.
 BLOCK_ROWS = 100_000
-# Hex digits of the hash that make one bucket when the smallest hashes are sought.
+# Hex digits of the hash that make one bucket when the smallest hashes are sought, and
+# how often the bucket with the border is cut again before its rows are sorted.
 PREFIX_DIGITS = 4
+PREFIX_ROUNDS = 2
+# Keys per range, from which the number of ranges follows, and the bits that number has
+# at most: the cut points are one array of up to 2^17 keys.
+RANGE_KEYS = 2_000_000
+RANGE_BITS = 17
 
 
 def _present(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -34,27 +40,27 @@ def _ranges(df: DataFrame) -> int:
 
 
 def _cut_points(df: DataFrame, key: Column, hashed: list[str], ranges: int) -> Column:
-    """Ascending keys that split the keys into `ranges` parts.
+    """Ascending keys that split the keys into `ranges` parts, or more in a large table.
 
     The sample is every key whose row hash falls below a limit, so each run and
-    each retried task sees the same cut points. Its size is about
-    `ranges * OVERSAMPLE`, whatever the table holds.
+    each retried task sees the same cut points. Its size is about `OVERSAMPLE` per
+    range, and the ranges follow from the number of rows.
     """
-    wanted = ranges * OVERSAMPLE
     share = (F.xxhash64(*hashed).cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
     keys = df.select(key.alias("k"), share.alias("share"))
     rows = keys.agg(F.count_if(F.col("share") >= 0)).scalar()
-    sample = keys.where(F.col("share") <= F.lit(wanted) / F.greatest(rows, F.lit(1)))
+    needed = F.least(F.ceil(rows / F.lit(RANGE_KEYS)), F.lit(1 << (RANGE_BITS - 1)))
+    wanted = F.greatest(needed, F.lit(ranges)) * OVERSAMPLE
+    sample = keys.where(F.col("share") <= wanted / F.greatest(rows, F.lit(1)))
     ordered = sample.agg(F.array_sort(F.collect_set("k")).alias("a"))
     every = F.filter("a", lambda _, i: i % OVERSAMPLE == OVERSAMPLE - 1)
     return ordered.select(every).scalar()
 
 
-def _located(df: DataFrame, key: Column, cuts: Column, ranges: int) -> DataFrame:
+def _located(df: DataFrame, key: Column, cuts: Column) -> DataFrame:
     """Add `_range`, the number of cut points at or below `key`, by halving steps."""
     found = df.withColumns({"_cuts": cuts, "_range": F.lit(0)})
-    # The sample size varies around its mean: leave room for twice as many cuts.
-    for bit in reversed(range((2 * ranges).bit_length())):
+    for bit in reversed(range(RANGE_BITS)):
         step = 1 << bit
         below = F.get("_cuts", F.col("_range") + (step - 1)) <= key
         found = found.withColumn("_range", F.col("_range") + F.when(below, step).otherwise(0))
@@ -76,7 +82,7 @@ def running_sum(
     names = [*by, *order]
     needed = df.columns if aggregated else names
     key = F.struct(*names) if len(names) > 1 else F.col(names[0])
-    located = _located(df, key, _cut_points(df, key, needed, ranges), ranges)
+    located = _located(df, key, _cut_points(df, key, needed, ranges))
     inner = W.partitionBy("_range", *by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     inside = located.withColumn("_inside", F.coalesce(F.sum(weight).over(inner), F.lit(0)))
     sums = (
@@ -144,32 +150,21 @@ def quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float])
     return ranked.groupBy(*by).agg(*parts).select(*by, *result)
 
 
-def average_ranks(df: DataFrame, value: str, group: str, groups: list | None = None) -> DataFrame:
+def average_ranks(df: DataFrame, value: str, group: str) -> DataFrame:
     """One row per (value, group): `n` rows of it, `ties` rows of that value, `rank`.
 
-    `rank` is the mean rank, from 1, of the rows that share the value. With the
-    few `groups` named, one aggregate counts them all side by side.
+    `rank` is the mean rank, from 1, of the rows that share the value. Rows are
+    counted per value and group, values are ranked once, and the ranks go back to
+    the counts; the same plan serves any number of groups.
     """
     present = _present(df, [value, group])
-    v, g = F.col(value).alias("value"), F.col(group)
-    if groups:
-        wide = present.groupBy(v).agg(
-            F.count_if(g.isin(groups)).alias("ties"),
-            *[F.count_if(g == label).alias(f"_{i}") for i, label in enumerate(groups)],
-        )
-        counted = [F.struct(F.lit(x).alias("group"), F.col(f"_{i}").alias("n")) for i, x in enumerate(groups)]
-        values = wide.where("ties > 0")
-        listed = F.filter(F.array(*counted), lambda c: c["n"] > 0)
-    else:
-        counts = present.groupBy(v, g.alias("group")).agg(F.count(F.lit(1)).alias("n"))
-        # One entry per group: the number of groups bounds each list.
-        values = counts.groupBy("value").agg(
-            F.sum("n").alias("ties"), F.collect_list(F.struct("group", "n")).alias("_groups")
-        )
-        listed = F.col("_groups")
-    ranked = running_sum(values, [], ["value"], "ties")
+    counts = present.groupBy(F.col(value).alias("value"), F.col(group).alias("group")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    values = counts.groupBy("value").agg(F.sum("n").alias("ties"))
     rank = F.col("before") + (F.col("ties") + 1) / F.lit(2.0)
-    return ranked.select("value", "ties", rank.alias("rank"), F.inline(listed).alias("group", "n"))
+    ranked = running_sum(values, [], ["value"], "ties").select("value", "ties", rank.alias("rank"))
+    return counts.join(ranked, "value").select("value", "ties", "rank", "group", "n")
 
 
 def sliding(df: DataFrame, before: int, after: int, columns: dict, block: int = BLOCK_ROWS) -> DataFrame:
@@ -200,20 +195,28 @@ def smallest_by_hash(df: DataFrame, key: str, seed: int, by: list[str], wanted:
 
     `wanted` has one row per `by` with the number of rows in `k`; the result has
     one row per `by` with `last`, null where `k` is 0. Counting hash prefixes finds
-    the one bucket in which the limit falls; only its rows are sorted.
+    the one bucket in which the limit falls, and prefixes within it a smaller one; only
+    the rows of the last, one in 2^32, are sorted.
     """
-    hashed = df.select(*by, F.col(key).alias("_key"), hash_order(key, seed).alias("_hash"))
-    hashed = hashed.withColumn("_prefix", F.substring("_hash", 1, PREFIX_DIGITS))
+    inside = df.select(*by, F.col(key).alias("_key"), hash_order(key, seed).alias("_hash"))
+    needs = wanted.select(*by, F.col("k").alias("_need"))
     group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-    upto = group.orderBy("_prefix").rowsBetween(W.unboundedPreceding, W.currentRow)
-    counted = hashed.groupBy(*by, "_prefix").agg(F.count(F.lit(1)).alias("_n"))
-    reached = counted.withColumn("_upto", F.sum("_n").over(upto))
-    reached = reached.join(wanted, by) if by else reached.withColumn("k", wanted.select("k").scalar())
-    border = reached.where(
-        (F.col("_upto") >= F.col("k")) & (F.col("_upto") - F.col("_n") < F.col("k"))
-    ).select(*by, "_prefix", (F.col("k") - F.col("_upto") + F.col("_n")).alias("_need"))
-    # One row per `by`, so the bucket's rows are found by a broadcast join.
-    inside = hashed.join(F.broadcast(border), [*by, "_prefix"])
+    for done in range(PREFIX_ROUNDS):
+        prefix = F.substring("_hash", 1 + done * PREFIX_DIGITS, PREFIX_DIGITS)
+        inside = inside.drop("_need").withColumn("_prefix", prefix)
+        upto = group.orderBy("_prefix").rowsBetween(W.unboundedPreceding, W.currentRow)
+        counted = inside.groupBy(*by, "_prefix").agg(F.count(F.lit(1)).alias("_n"))
+        reached = counted.withColumn("_upto", F.sum("_n").over(upto))
+        if by:
+            reached = reached.join(needs, by)
+        else:
+            reached = reached.withColumn("_need", needs.select("_need").scalar())
+        before = F.col("_upto") - F.col("_n")
+        border = reached.where((F.col("_upto") >= F.col("_need")) & (before < F.col("_need")))
+        border = border.select(*by, "_prefix", (F.col("_need") - before).alias("_need"))
+        # One row per `by`, so the bucket's rows are found by a broadcast join.
+        inside = inside.join(F.broadcast(border), [*by, "_prefix"]).drop("_prefix")
+        needs = border.drop("_prefix")
     copies = inside.groupBy(*by, "_need", "_hash", "_key").agg(F.count(F.lit(1)).alias("_n"))
     earlier = group.orderBy("_hash", "_key").rowsBetween(W.unboundedPreceding, -1)
     taken = copies.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))

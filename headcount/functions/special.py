@@ -14,10 +14,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _TINY = 1e-300
-_EPS = 1e-15
-_STEPS = 200_000
-# Denominator degrees of freedom beyond which an F tail equals its chi-square limit.
-_LARGE = 1e7
+_EPS = 1e-14
+# The fractions take about the root of the degrees of freedom; not ending is an error.
+_STEPS = 20_000_000
+# Denominator degrees of freedom beyond which an F tail equals its chi-square limit to
+# 1e-9: the next term of the expansion is of the order of one over them.
+_LARGE = 1e12
 
 
 def _guard(x: float) -> float:
@@ -35,8 +37,8 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
             c = _guard(1.0 + term / c)
             total *= c * d
         if abs(c * d - 1.0) < _EPS:
-            break
-    return total
+            return total
+    raise ArithmeticError("the beta fraction did not settle")
 
 
 def beta_inc(a: float, b: float, x: float) -> float:
@@ -64,8 +66,8 @@ def gamma_tail(a: float, x: float) -> float:
             term *= x / (a + n)
             total += term
             if term < total * _EPS:
-                break
-        return 1.0 - total * math.exp(log_front)
+                return 1.0 - total * math.exp(log_front)
+        raise ArithmeticError("the gamma series did not settle")
     b = x + 1.0 - a
     c, d = 1.0 / _TINY, 1.0 / _guard(b)
     total = d
@@ -76,8 +78,8 @@ def gamma_tail(a: float, x: float) -> float:
         c = _guard(b + step / c)
         total *= c * d
         if abs(c * d - 1.0) < _EPS:
-            break
-    return math.exp(log_front) * total
+            return math.exp(log_front) * total
+    raise ArithmeticError("the gamma fraction did not settle")
 
 
 def chi2_tail(x: float, k: float) -> float:
@@ -141,14 +143,13 @@ def chi2_p(x: Column, k: Column) -> Column:
 
 # Sizes up to which the rank-sum tail is counted exactly.
 EXACT_SAMPLE = 8
-EXACT_CELLS = 1_000_000
 
 
 def u_p(u: Column, z: Column, n1: Column, n2: Column, ties: Column) -> Column:
     """Exact for a small sample without ties, else the normal approximation."""
 
     def tail(u, z, n1, n2, ties):
-        if ties == 0 and min(n1, n2) <= EXACT_SAMPLE and n1 * n2 <= EXACT_CELLS:
+        if ties == 0 and min(n1, n2) <= EXACT_SAMPLE:
             return exact_u_tail(u, int(n1), int(n2))
         return normal_tail(z)
 

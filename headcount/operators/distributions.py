@@ -11,7 +11,8 @@ from headcount.functions.ordering import hash_order
 from headcount.functions.shapes import stat, with_stats
 from headcount.operators.quality import fences
 
-# A normal kernel this many bandwidths away adds less than a double resolves.
+# A normal kernel this many bandwidths away adds less than a double resolves next to
+# any point within reach; a gap farther than this from all values reads 0.
 KERNEL_REACH = 9.0
 
 
@@ -39,12 +40,15 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     )
 
 
-def density(df: DataFrame, column: str, points: int = 200) -> DataFrame:
+def density(
+    df: DataFrame, column: str, points: int = 200, reach: float = KERNEL_REACH
+) -> DataFrame:
     """Normal-kernel density on an even grid from the smallest to the largest value.
 
     The bandwidth is the standard deviation times n^(-1/5). A value contributes
-    only to grid points within reach of its kernel, and contributions are summed
-    before the shuffle: no data row is shuffled, and at most `points` sums are.
+    only to grid points within `reach` bandwidths, and contributions are summed
+    before the shuffle: no data row is shuffled, and at most `points` sums are. Where
+    all values are equal, or there is one, the density is null.
     """
     value = df.select(F.col(f"`{column}`").cast("double").alias("x")).where("x is not null")
     moments = value.agg(
@@ -61,7 +65,7 @@ def density(df: DataFrame, column: str, points: int = 200) -> DataFrame:
     fixed = value.withColumn("_moments", moments).withColumns(
         {"lo": m["lo"], "step": step, "width": width}
     )
-    reach = F.col("width") * F.lit(KERNEL_REACH)
+    reach = F.col("width") * F.lit(float(reach))
     first = F.greatest(F.floor((F.col("x") - reach - F.col("lo")) / F.col("step")), F.lit(0))
     last = F.least(F.ceil((F.col("x") + reach - F.col("lo")) / F.col("step")), F.lit(points - 1))
     near = fixed.where((F.col("step") > 0) & (F.col("width") > 0)).withColumn(
@@ -76,7 +80,7 @@ def density(df: DataFrame, column: str, points: int = 200) -> DataFrame:
     return every.join(sums, "point", "left").withColumn("_moments", moments).select(
         "point",
         (m["lo"] + step * F.col("point")).alias("x"),
-        (F.coalesce(F.col("s"), F.lit(0.0)) / scale).alias("density"),
+        F.try_divide(F.coalesce(F.col("s"), F.lit(0.0)), scale).alias("density"),
     )
 
 

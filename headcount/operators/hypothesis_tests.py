@@ -17,10 +17,9 @@ from headcount.functions.special import chi2_p, f_p, f_tail, t_p, u_p
 
 # Fixed value: the level below which a difference counts.
 ALPHA = 0.05
-# Groups that rank tests count side by side.
-FEW_GROUPS = 16
-# The additive fit solves one equation per level of either factor.
-MAX_LEVELS = 2000
+# Levels that the factor with fewer of them may have: the additive fit solves one
+# equation for each, and eliminates the other factor.
+MAX_LEVELS = 5000
 
 
 def _only(count: Column, wanted: int, result: Column, what: str) -> Column:
@@ -28,6 +27,13 @@ def _only(count: Column, wanted: int, result: Column, what: str) -> Column:
     return F.when(count != wanted, failure.cast("double")).otherwise(result)
 
 
+def _at_least(count: Column, wanted: int, result: Column, what: str) -> Column:
+    failure = F.raise_error(
+        F.concat(F.lit(f"{what} needs at least {wanted} groups, found "), count.cast("string"))
+    )
+    return F.when(count < wanted, failure.cast("double")).otherwise(result)
+
+
 def _with_p(df: DataFrame, p: Column) -> DataFrame:
     return df.withColumn("p_value", p).withColumn("reject", F.col("p_value") < ALPHA)
 
@@ -42,7 +48,10 @@ def _groups(df: DataFrame, value: str, group: str) -> DataFrame:
 
 
 def t_test(df: DataFrame, value: str, group: str) -> DataFrame:
-    """Two-sample t with pooled variance: statistic and degrees of freedom."""
+    """Two-sample t with pooled variance: statistic and degrees of freedom.
+
+    One row in each group leaves no freedom, and the statistic is null.
+    """
     sides = _groups(df, value, group).agg(
         F.count(F.lit(1)).alias("k"),
         F.min_by(F.struct("n", "mean", "var"), "g").alias("a"),
@@ -53,7 +62,7 @@ def t_test(df: DataFrame, value: str, group: str) -> DataFrame:
     spread = F.coalesce(F.col("a.var"), F.lit(0.0)) * (n1 - 1) + F.coalesce(
         F.col("b.var"), F.lit(0.0)
     ) * (n2 - 1)
-    error = F.sqrt(spread / freedom * (F.lit(1.0) / n1 + F.lit(1.0) / n2))
+    error = F.sqrt(F.try_divide(spread, freedom) * (F.lit(1.0) / n1 + F.lit(1.0) / n2))
     t = F.try_divide(F.col("a.mean") - F.col("b.mean"), error)
     return sides.select(
         _only(F.col("k"), 2, t, "t-test").alias("statistic"), freedom.cast("bigint").alias("df")
@@ -65,11 +74,7 @@ def t_test_p(df: DataFrame, value: str, group: str) -> DataFrame:
 
 
 def _rank_sums(df: DataFrame, value: str, group: str) -> DataFrame:
-    # The groups' names, if they are few; otherwise they are counted as rows.
-    named = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select(group).distinct()
-    found = sorted(r[0] for r in named.limit(FEW_GROUPS + 1).collect())
-    few = found if len(found) <= FEW_GROUPS else None
-    ranks = average_ranks(df.select(value, group), value, group, few)
+    ranks = average_ranks(df.select(value, group), value, group)
     return ranks.groupBy("group").agg(
         F.sum("n").alias("n"),
         F.sum(F.col("n") * F.col("rank")).alias("ranks"),
@@ -118,7 +123,8 @@ def kruskal_wallis(df: DataFrame, value: str, group: str) -> DataFrame:
     n = F.col("n")
     h = F.lit(12.0) / (n * (n + 1)) * F.col("squares") - F.lit(3.0) * (n + 1)
     corrected = F.try_divide(h, F.lit(1.0) - F.col("ties") / (n * n * n - n))
-    return sums.select(corrected.alias("statistic"), (F.col("k") - 1).alias("df"))
+    tested = _at_least(F.col("k"), 2, corrected, "H test")
+    return sums.select(tested.alias("statistic"), (F.col("k") - 1).alias("df"))
 
 
 def kruskal_wallis_p(df: DataFrame, value: str, group: str) -> DataFrame:
@@ -138,7 +144,8 @@ def one_way_anova(df: DataFrame, value: str, group: str) -> DataFrame:
     )
     d1, d2 = F.col("k") - 1, F.col("n") - F.col("k")
     f = F.try_divide(F.try_divide(F.col("between"), d1), F.try_divide(F.col("within"), d2))
-    return sums.select(f.alias("statistic"), d1.alias("df_between"), d2.alias("df_within"))
+    tested = _at_least(F.col("k"), 2, f, "ANOVA")
+    return sums.select(tested.alias("statistic"), d1.alias("df_between"), d2.alias("df_within"))
 
 
 def one_way_anova_p(df: DataFrame, value: str, group: str) -> DataFrame:
@@ -146,23 +153,41 @@ def one_way_anova_p(df: DataFrame, value: str, group: str) -> DataFrame:
     return _with_p(tested, f_p(F.col("statistic"), F.col("df_between"), F.col("df_within")))
 
 
+def _additive(few: np.ndarray, many: np.ndarray, n: np.ndarray, mean: np.ndarray) -> tuple[np.ndarray, int]:
+    """The weighted fit of two factors over the cells, and its rank.
+
+    The factor with more levels is eliminated: its equations have one unknown each
+    once the other is known, so only the factor with fewer levels needs a solve.
+    """
+    k, m = few.max() + 1, many.max() + 1
+    per_many = np.bincount(many, n, m)
+    total = np.bincount(many, n * mean, m)
+    # Cells in order of the eliminated level; pairs of cells within one level.
+    schur = np.diag(np.bincount(few, n, k))
+    right = np.bincount(few, n * mean, k) - np.bincount(few, n * (total / per_many)[many], k)
+    order = np.argsort(many, kind="stable")
+    for cell in np.split(order, np.flatnonzero(np.diff(many[order])) + 1):
+        share = n[cell] / np.sqrt(per_many[many[cell[0]]])
+        schur[np.ix_(few[cell], few[cell])] -= np.outer(share, share)
+    solved, _, rank, _ = np.linalg.lstsq(schur, right, rcond=1e-10)
+    own = (total - np.bincount(many, n * solved[few], m)) / per_many
+    return solved[few] + own[many], int(rank) + m
+
+
 def _type_two(cells: pd.DataFrame) -> pd.DataFrame:
     """Effects from the cells' counts, means and inner sums of squares."""
-    a, levels_a = pd.factorize(cells["a"], sort=True)
-    b, levels_b = pd.factorize(cells["b"], sort=True)
+    a, _ = pd.factorize(cells["a"], sort=True)
+    b, _ = pd.factorize(cells["b"], sort=True)
     n, mean = cells["n"].to_numpy(float), cells["mean"].to_numpy(float)
-    root = np.sqrt(n)
-    in_a, in_b = np.eye(len(levels_a))[a], np.eye(len(levels_b))[b]
-
-    def fit(design: np.ndarray) -> tuple[np.ndarray, int]:
-        solved = np.linalg.lstsq(design * root[:, None], mean * root, rcond=None)
-        return design @ solved[0], int(solved[2])
-
-    centre = np.average(mean, weights=n)
-    mean = mean - centre
-    fit_a, rank_a = fit(in_a)
-    fit_b, rank_b = fit(in_b)
-    fit_both, rank_both = fit(np.hstack([in_a, in_b]))
+    mean = mean - np.average(mean, weights=n)
+
+    def means(level: np.ndarray) -> tuple[np.ndarray, int]:
+        fitted = np.bincount(level, n * mean) / np.bincount(level, n)
+        return fitted[level], len(fitted)
+
+    fit_a, rank_a = means(a)
+    fit_b, rank_b = means(b)
+    fit_both, rank_both = _additive(*((a, b) if rank_a <= rank_b else (b, a)), n, mean)
     rows = [
         ("a", float(n @ (fit_both - fit_b) ** 2), rank_both - rank_b),
         ("b", float(n @ (fit_both - fit_a) ** 2), rank_both - rank_a),
@@ -184,8 +209,8 @@ def _type_two(cells: pd.DataFrame) -> pd.DataFrame:
 def two_way_anova_p(df: DataFrame, value: str, a: str, b: str) -> DataFrame:
     """Type II effects of two factors and their interaction, with p-values.
 
-    Spark reduces the table to one row per cell; the additive fit over the cells,
-    whose number the factors' levels bound, is one small solve.
+    Spark reduces the table to one row per cell, whose number does not grow with the
+    rows; the fit over the cells solves one equation per level of the smaller factor.
     """
     v = F.col(f"`{value}`").cast("double")
     cells = (
@@ -197,8 +222,9 @@ def two_way_anova_p(df: DataFrame, value: str, a: str, b: str) -> DataFrame:
             (F.var_pop(v) * F.count(v)).alias("within"),
         )
     )
-    levels = cells.agg(F.count_distinct("a") + F.count_distinct("b")).scalar()
-    failure = F.raise_error(F.lit(f"two-way ANOVA takes at most {MAX_LEVELS} levels")).cast("boolean")
+    levels = cells.agg(F.least(F.count_distinct("a"), F.count_distinct("b"))).scalar()
+    text = f"two-way ANOVA takes at most {MAX_LEVELS} levels of the smaller factor"
+    failure = F.raise_error(F.lit(text)).cast("boolean")
     cells = cells.where(F.when(levels > MAX_LEVELS, failure).otherwise(F.lit(True)))
     schema = "term string, sum_sq double, df bigint, statistic double, p_value double"
     table = cells.groupBy(F.lit(0).alias("one")).applyInPandas(_type_two, schema)

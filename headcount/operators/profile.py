@@ -44,9 +44,13 @@ def column_profile(df: DataFrame, columns: list[str] | None = None, approximate:
     """Per column: type, number of distinct non-null values, number of nulls.
 
     The exact count adds up equal values of all columns in one narrow shuffle;
-    the approximate one shuffles a sketch per column.
+    the approximate one shuffles a sketch per column. Zero is one value, whatever
+    its sign.
     """
     columns = columns or df.columns
+    df = df.withColumns(
+        {c: F.col(f"`{c}`") + F.lit(0.0) for c in columns if df.schema[c].dataType.typeName() == "double"}
+    )
     types = F.create_map(
         *[F.lit(x) for c in columns for x in (c, df.schema[c].dataType.simpleString())]
     )

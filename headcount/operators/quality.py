@@ -21,11 +21,19 @@ FENCE = 1.5
 
 
 def null_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Per column: percentage of nulls and the action it calls for. One scan, one row shuffled."""
+    """Per column: percentage of nulls and the action it calls for. One scan, one row shuffled.
+
+    An empty table has no nulls, and calls for no action.
+    """
     columns = columns or df.columns
     rows = F.count(F.lit(1))
     wide = df.agg(
-        *[((rows - F.count(F.col(f"`{c}`"))) / rows * F.lit(100.0)).alias(c) for c in columns]
+        *[
+            F.coalesce(
+                F.try_divide(rows - F.count(F.col(f"`{c}`")), rows) * F.lit(100.0), F.lit(0.0)
+            ).alias(c)
+            for c in columns
+        ]
     )
     pct = F.col("pct")
     action = (
@@ -70,7 +78,10 @@ def modes(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def medians(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Per numeric column the exact median of its non-null values."""
+    """Per numeric column the exact median of its non-null values, as a double.
+
+    Whole numbers beyond 2^53 are rounded to the nearest double.
+    """
     return quantiles(melt(df, columns, "double"), ["column"], "value", {"median": 0.5})
 
 

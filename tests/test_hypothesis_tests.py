@@ -139,6 +139,37 @@ def test_type_two_equals_least_squares(spark, drop_cell):
 
 
 def test_two_way_guard(spark):
-    df = spark.range(3000).selectExpr("cast(id as string) a", "cast(id as string) b", "id * 1.0D v")
-    with pytest.raises(Exception, match="at most 2000 levels"):
+    df = spark.range(6000).selectExpr("cast(id as string) a", "cast(id as string) b", "id * 1.0D v")
+    with pytest.raises(Exception, match="at most 5000 levels"):
         tests.two_way_anova(df, "v", "a", "b").collect()
+
+
+def test_two_way_with_many_levels_on_one_side(spark):
+    """The larger factor is eliminated, so its levels cost nothing."""
+    df = spark.range(36_000).selectExpr(
+        "cast(id % 6000 as string) a",
+        "cast(id div 6000 % 3 as string) b",
+        "(id div 6000 % 3) + (id * 37 % 11) / 10.0D v",
+    )
+    got = {r["term"]: r for r in tests.two_way_anova(df, "v", "a", "b").collect()}
+    assert got["a"]["df"] == 5999 and got["b"]["df"] == 2 and got["b"]["statistic"] > 100
+
+
+@pytest.mark.parametrize("test", [tests.kruskal_wallis, tests.one_way_anova])
+def test_one_group_is_not_enough(spark, test):
+    with pytest.raises(Exception, match="at least 2 groups, found 1"):
+        test(_groups(spark, a=[1, 2]), "v", "g").collect()
+
+
+def test_two_rows_leave_no_freedom(spark):
+    got = tests.t_test_p(_groups(spark, a=[1], b=[2]), "v", "g").first()
+    assert got["statistic"] is None and got["p_value"] is None and got["df"] == 0
+
+
+def test_many_groups_rank_like_few(spark):
+    frame = pd.DataFrame({"g": [f"g{i % 40:02d}" for i in range(400)], "v": [float(i * 7 % 50) for i in range(400)]})
+    got = tests.kruskal_wallis(spark.createDataFrame(frame), "v", "g").first()
+    ranks = frame["v"].rank().groupby(frame["g"]).agg(["sum", "size"])
+    h = 12 / (400 * 401) * (ranks["sum"] ** 2 / ranks["size"]).sum() - 3 * 401
+    h /= 1 - sum(t**3 - t for t in frame["v"].value_counts()) / (400**3 - 400)
+    assert got["statistic"] == pytest.approx(h) and got["df"] == 39
