@@ -28,6 +28,16 @@ MIXED_FORMATS = (
     "d/M/yyyy HH:mm:ss",
     "d-M-yyyy HH:mm:ss",
     "yyyy-MM-dd'T'HH:mm:ss",
+    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS][XXX][X]",
+    "yyyy-MM-dd HH:mm:ss[.SSSSSS][.SSS][XXX][X]",
+    "yyyy.MM.dd",
+    "d/M/yy",
+    "d-M-yy",
+    "d.M.yy",
+    "M/d/yy",
+    "M-d-yy",
+    "MMM yyyy",
+    "MMMM yyyy",
 )
 MONTHS = (
     "January",
@@ -64,7 +74,8 @@ def coerce_dates(df: DataFrame, columns: list[str]) -> DataFrame:
 def parse_mixed_dates(df: DataFrame, columns: list[str], dayfirst: bool = True) -> DataFrame:
     """Dates in mixed layouts, rewritten as `yyyy-MM-dd` text.
 
-    A non-null value that fits no layout fails the query.
+    Two-digit years are those of this century, a month with a year is its first day, and
+    a time with a zone is taken in the session's zone. A non-null value that fits no layout fails the query.
     """
     formats = MIXED_FORMATS
     if not dayfirst:
@@ -72,7 +83,7 @@ def parse_mixed_dates(df: DataFrame, columns: list[str], dayfirst: bool = True)
         formats = tuple(sorted(MIXED_FORMATS, key=lambda f: f.startswith("d")))
 
     def parsed(name: str) -> Column:
-        c = F.trim(F.col(f"`{name}`").cast("string"))
+        c = F.regexp_replace(F.trim(F.col(f"`{name}`").cast("string")), "(?i)\\bsept\\b", "Sep")
         attempts = [F.try_to_timestamp(c, F.lit(f)) for f in formats]
         text = F.date_format(F.coalesce(*attempts), "yyyy-MM-dd")
         failure = F.raise_error(F.concat(F.lit(f"no date in column {name}: "), c))

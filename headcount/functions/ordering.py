@@ -21,10 +21,10 @@ BLOCK_ROWS = 100_000
 # how often the bucket with the border is cut again before its rows are sorted.
 PREFIX_DIGITS = 4
 PREFIX_ROUNDS = 2
-# Keys per range, from which the number of ranges follows, and the bits that number has
-# at most: the cut points are one array of up to 2^17 keys.
+# Keys per range, from which the number of ranges follows, and that number at most: the
+# cut points are one array, held by every task.
 RANGE_KEYS = 2_000_000
-RANGE_BITS = 17
+MOST_RANGES = 65_536
 
 
 def _present(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -49,7 +49,7 @@ def _cut_points(df: DataFrame, key: Column, hashed: list[str], ranges: int) -> C
     share = (F.xxhash64(*hashed).cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
     keys = df.select(key.alias("k"), share.alias("share"))
     rows = keys.agg(F.count_if(F.col("share") >= 0)).scalar()
-    needed = F.least(F.ceil(rows / F.lit(RANGE_KEYS)), F.lit(1 << (RANGE_BITS - 1)))
+    needed = F.least(F.ceil(rows / F.lit(RANGE_KEYS)), F.lit(MOST_RANGES))
     wanted = F.greatest(needed, F.lit(ranges)) * OVERSAMPLE
     sample = keys.where(F.col("share") <= wanted / F.greatest(rows, F.lit(1)))
     ordered = sample.agg(F.array_sort(F.collect_set("k")).alias("a"))
@@ -59,12 +59,14 @@ def _cut_points(df: DataFrame, key: Column, hashed: list[str], ranges: int) -> C
 
 def _located(df: DataFrame, key: Column, cuts: Column) -> DataFrame:
     """Add `_range`, the number of cut points at or below `key`, by halving steps."""
-    found = df.withColumns({"_cuts": cuts, "_range": F.lit(0)})
-    for bit in reversed(range(RANGE_BITS)):
-        step = 1 << bit
-        below = F.get("_cuts", F.col("_range") + (step - 1)) <= key
-        found = found.withColumn("_range", F.col("_range") + F.when(below, step).otherwise(0))
-    return found.drop("_cuts")
+    found = df.withColumn("_cuts", cuts)
+    bits = F.sequence(F.length(F.bin(F.size("_cuts"))) - 1, F.lit(0), F.lit(-1))
+
+    def halve(at: Column, bit: Column) -> Column:
+        step = F.call_function("shiftleft", F.lit(1), bit)
+        return at + F.when(F.get("_cuts", at + step - 1) <= key, step).otherwise(0)
+
+    return found.withColumn("_range", F.aggregate(bits, F.lit(0), halve)).drop("_cuts")
 
 
 def running_sum(

@@ -161,24 +161,24 @@ def smote(
     k: int = SMOTE_NEIGHBOURS,
     seed: int = 42,
 ) -> DataFrame:
-    """Features, target and `synthetic`: the minority class filled up to the majority's size."""
+    """Features, target and `synthetic`: each class filled up to the largest one's size."""
     counts = df.where(F.col(target).isNotNull()).groupBy(target).agg(F.count(F.lit(1)).alias("n"))
-    # The classes and their sizes: two small rows decide how many to make.
-    sizes = {r[target]: r["n"] for r in counts.limit(3).collect()}
-    if len(sizes) != 2:
-        raise ValueError("oversampling needs a target of two classes")
-    minority = min(sizes, key=lambda c: (sizes[c], c))
-    wanted = max(sizes.values()) - sizes[minority]
-    if sizes[minority] <= k:
-        raise ValueError(f"the minority class has {sizes[minority]} rows; more than {k} are needed")
-    own = df.where(F.col(target).isNotNull()).select(
+    # The classes and their sizes, a row each, decide how many to make.
+    sizes = {r[target]: r["n"] for r in counts.limit(MAX_CLASSES + 1).collect()}
+    if len(sizes) < 2 or len(sizes) > MAX_CLASSES:
+        raise ValueError(f"oversampling needs a target of two to {MAX_CLASSES} classes")
+    most = max(sizes.values())
+    result = own = df.where(F.col(target).isNotNull()).select(
         *[F.col(f"`{c}`").cast("double").alias(c) for c in features], target, F.lit(False).alias("synthetic")
     )
-    if wanted == 0:
-        return own
-    made = synthetic_rows(own.where(F.col(target) == minority), features, wanted, k, seed)
-    label = F.lit(minority).cast(df.schema[target].dataType).alias(target)
-    return own.unionByName(made.select(*features, label, F.lit(True).alias("synthetic")))
+    for label in sorted(c for c, n in sizes.items() if n < most):
+        if sizes[label] <= k:
+            raise ValueError(f"the class {label} has {sizes[label]} rows; more than {k} are needed")
+        rows = own.where(F.col(target) == label)
+        made = synthetic_rows(rows, features, most - sizes[label], k, seed)
+        named = F.lit(label).cast(df.schema[target].dataType).alias(target)
+        result = result.unionByName(made.select(*features, named, F.lit(True).alias("synthetic")))
+    return result
 
 
 def _equal_to(label: int):

@@ -14,9 +14,16 @@ def drop_columns(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def align_columns(df: DataFrame, wanted: list[str]) -> DataFrame:
-    """Exactly the wanted columns in their order; an absent one is filled with 0."""
+    """Exactly the wanted columns in their order; an absent one is filled with 0.
+
+    Names are matched without regard to case, as everywhere in a query.
+    """
+    known = {c.lower(): c for c in df.columns}
     return df.select(
-        [F.col(f"`{c}`") if c in df.columns else F.lit(0.0).alias(c) for c in wanted]
+        [
+            F.col(f"`{known[c.lower()]}`").alias(c) if c.lower() in known else F.lit(0.0).alias(c)
+            for c in wanted
+        ]
     )
 
 

@@ -7,9 +7,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from headcount.functions.dates import parse_mixed_dates
 from headcount.functions.ordering import hash_order, smallest_by_hash
 from headcount.functions.shapes import melt
 from headcount.functions.text import encode_target
+from headcount.operators.columns import align_columns
 from headcount.operators.quality import modes
 
 # Each category but the first becomes a column.
@@ -67,9 +69,30 @@ class FeaturePlan:
         ready = self.scale(self.one_hot(df))
         return ready.select(*(keep or []), *[F.col(f"`{c}`") for c in self.outputs])
 
-    def prepare_batch(self, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
-        """`transform` for a table to score, its missing categories filled first."""
-        return self.transform(self.fill(df), keep)
+    def prepare_batch(
+        self, df: DataFrame, keep: list[str] | None = None, dates: tuple[str, ...] = ()
+    ) -> DataFrame:
+        """`transform` for a table to score, whatever it lacks.
+
+        Names are matched without regard to case. Dates in mixed layouts become
+        `yyyy-MM-dd` text, missing categories the training mode. A training column that
+        is absent, and a missing number, become 0 after scaling; others are dropped.
+        """
+        known = {c.lower(): c for c in df.columns}
+        df = parse_mixed_dates(df, [known[c.lower()] for c in dates if c.lower() in known])
+        wanted = [*self.categories, *self.ranges]
+        df = df.withColumnsRenamed(
+            {known[c.lower()]: c for c in wanted if c.lower() in known and known[c.lower()] != c}
+        )
+        here = FeaturePlan(
+            *(
+                {c: v for c, v in part.items() if c.lower() in known}
+                for part in (self.categories, self.modes, self.ranges)
+            )
+        )
+        ready = here.scale(here.one_hot(here.fill(df)))
+        ready = ready.fillna(0.0, subset=list(here.ranges))
+        return align_columns(ready, [*(keep or []), *self.outputs])
 
 
 def _name(column: str, value: str | None) -> str:

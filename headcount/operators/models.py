@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Model
 from pyspark.ml.classification import (
@@ -14,12 +15,12 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+from headcount.functions.ordering import running_sum
 from headcount.operators.features import FeaturePlan
 from headcount.operators.scoring import evaluate, rank_models
 
@@ -151,7 +152,7 @@ def train_compare(
     """
     spark = train_rows.sparkSession
     ready = assembled(train_rows, features, label).persist(StorageLevel.MEMORY_AND_DISK)
-    held = test_rows.select(label, *features)
+    held = test_rows.select(label, *features).persist(StorageLevel.MEMORY_AND_DISK)
     fitted, rows = {}, []
     try:
         count = ready.count()
@@ -165,16 +166,32 @@ def train_compare(
             scored.unpersist()
     finally:
         ready.unpersist()
+        held.unpersist()
     schema = "model string, accuracy double, precision double, recall double, f1 double, roc_auc double"
     return rank_models(spark.createDataFrame(rows, schema)), fitted
 
 
-def folds(df: DataFrame, columns: list[str], count: int = FOLDS, seed: int = 42) -> DataFrame:
-    """Add `fold`, spread evenly by a hash of the row; no shuffle.
+def folds(
+    df: DataFrame, label: str, features: list[str], count: int = FOLDS, seed: int = 42
+) -> DataFrame:
+    """(label, vec, fold): the rows dealt in turn to the folds, class by class.
 
-    Copies of a row share a fold, so none is trained on and tested.
+    Rows of a class are taken in hash order, and copies of a row one after the other,
+    so a class has the same number of rows in each fold, give or take one. Equal rows
+    are counted before the shuffle.
     """
-    return df.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(count)).cast("int"))
+    vec = F.array(*[F.col(f"`{c}`").cast("double") for c in features])
+    counts = (
+        df.select(F.col(f"`{label}`").cast("double").alias("label"), vec.alias("vec"))
+        .where(F.col("label").isNotNull())
+        .groupBy("label", "vec")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_hash", F.xxhash64(F.lit(seed), "label", "vec"))
+    )
+    placed = running_sum(counts, ["label"], ["_hash", "vec"], "_n")
+    copy = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1))
+    turn = F.pmod(F.col("before") + F.col("_copy"), F.lit(count)).cast("int")
+    return placed.withColumn("_copy", copy).select("label", "vec", turn.alias("fold"))
 
 
 def draw(name: str, trials: int, seed: int = 42) -> list[dict]:
@@ -198,15 +215,6 @@ def draw(name: str, trials: int, seed: int = 42) -> list[dict]:
     return sets
 
 
-def _grid(base, name: str, sets: list[dict], rows: int, seed: int) -> list[dict]:
-    """Each parameter set as the settings of the estimator it makes."""
-    grid = []
-    for p in sets:
-        made = estimator(name, p, rows, seed)
-        grid.append({getattr(base, q.name): made.getOrDefault(q) for q in made.params if made.isSet(q)})
-    return grid
-
-
 @dataclass(frozen=True)
 class Tuned:
     name: str
@@ -224,34 +232,42 @@ def cross_validate(
     sets: list[dict],
     seed: int = 42,
     parallelism: int = 4,
-) -> tuple[list[float], Model]:
-    """Mean F1 of class 1 over the folds, per parameter set, and the best one refitted."""
-    folded = folds(df.select(label, *features), features, seed=seed)
+) -> list[float]:
+    """Mean F1 of class 1 over the folds per parameter set; NaN where a fold cannot tell.
+
+    `parallelism` fits run at a time, each on the stored folds.
+    """
     ready = (
-        VectorAssembler(inputCols=features, outputCol=_VECTOR)
-        .transform(folded)
-        .select(_VECTOR, F.col(label).cast("double").alias(_LABEL), "fold")
+        folds(df, label, features, seed=seed)
+        .select(array_to_vector("vec").alias(_VECTOR), F.col("label").alias(_LABEL), "fold")
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
+    judge = MulticlassClassificationEvaluator(
+        labelCol=_LABEL, metricName="fMeasureByLabel", metricLabel=1.0
+    )
     try:
-        rows = ready.count()
-        base = estimator(name, {}, rows, seed)
-        judge = MulticlassClassificationEvaluator(
-            labelCol=_LABEL, metricName="fMeasureByLabel", metricLabel=1.0
-        )
-        search = CrossValidator(
-            estimator=base,
-            estimatorParamMaps=_grid(base, name, sets, rows, seed),
-            evaluator=judge,
-            numFolds=FOLDS,
-            foldCol="fold",
-            parallelism=parallelism,
-            seed=seed,
-        )
-        found = search.fit(ready)
+        # One row per fold.
+        sizes = {r["fold"]: r["count"] for r in ready.groupBy("fold").count().collect()}
+
+        def score(task: tuple[int, dict]) -> float:
+            fold, params = task
+            rest = sum(n for f, n in sizes.items() if f != fold)
+            if not sizes.get(fold) or not rest:
+                return float("nan")
+            fitted = estimator(name, params, rest, seed).fit(ready.where(F.col("fold") != fold))
+            return judge.evaluate(fitted.transform(ready.where(F.col("fold") == fold)))
+
+        tasks = [(fold, params) for params in sets for fold in range(FOLDS)]
+        with ThreadPool(min(parallelism, max(1, len(tasks)))) as pool:
+            scores = pool.map(score, tasks)
     finally:
         ready.unpersist()
-    return [float(m) for m in found.avgMetrics], found.bestModel
+    return [sum(scores[i : i + FOLDS]) / FOLDS for i in range(0, len(scores), FOLDS)]
+
+
+def best_trial(scores: list[float]) -> int:
+    """The first trial with the best score; an undefined score loses to every other."""
+    return max(range(len(scores)), key=lambda i: float("-inf") if scores[i] != scores[i] else scores[i])
 
 
 def tune(
@@ -263,19 +279,17 @@ def tune(
     seed: int = 42,
     parallelism: int = 4,
 ) -> Tuned:
-    """Random search: the drawn set with the best cross-validated F1, refitted on all rows.
-
-    A set whose score is undefined loses to every other.
-    """
+    """Random search: the drawn set with the best cross-validated F1, refitted on all rows."""
     sets = draw(name, trials, seed)
-    scores, model = cross_validate(df, features, label, name, sets, seed, parallelism)
-    ordered = [float("-inf") if s != s else s for s in scores]
-    best = max(range(trials), key=lambda i: ordered[i])
+    scores = cross_validate(df, features, label, name, sets, seed, parallelism)
+    best = best_trial(scores)
+    known = [None if s != s else s for s in scores]
     table = df.sparkSession.createDataFrame(
-        [(i, s, str(p), i == best) for i, (s, p) in enumerate(zip(ordered, sets))],
+        [(i, s, str(p), i == best) for i, (s, p) in enumerate(zip(known, sets))],
         "trial int, f1 double, params string, best boolean",
     )
-    return Tuned(name, sets[best], ordered[best], model, table)
+    model = train(df, features, label, name, sets[best], seed)
+    return Tuned(name, sets[best], scores[best], model, table)
 
 
 def fit_best(
@@ -285,11 +299,17 @@ def fit_best(
     return train(df, features, label, tuned.name, tuned.params, seed)
 
 
-def score_batch(plan: FeaturePlan, model: Model, batch: DataFrame, features: list[str]) -> DataFrame:
+def score_batch(
+    plan: FeaturePlan,
+    model: Model,
+    batch: DataFrame,
+    features: list[str],
+    dates: tuple[str, ...] = (),
+) -> DataFrame:
     """The batch with Predicted Turnover (Yes/No) and Probability; also for one record."""
     # The input travels along whole while its columns are encoded.
     whole = batch.withColumn("_input", F.struct(*[F.col(f"`{c}`") for c in batch.columns]))
-    scored = predict(model, plan.prepare_batch(whole, ["_input"]), features)
+    scored = predict(model, plan.prepare_batch(whole, ["_input"], dates), features)
     return scored.select(
         "_input.*",
         F.when(F.col("prediction") == 1, "Yes").otherwise("No").alias("Predicted Turnover"),

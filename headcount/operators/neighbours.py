@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from headcount.session import cut_lineage
@@ -244,11 +245,18 @@ def nearest_vectors(vectors: DataFrame, k: int, seed: int = 42) -> DataFrame:
             abroad, "vec array<double>, square double, near array<double>, sizes array<bigint>"
         )
     )
-    # Per vector: at most k entries from each cell it reached.
+    # Each cell gives at most k entries; the best k are found before they are gathered.
     entry = F.struct("square", F.col("near").alias("vec"), "sizes")
-    return (
-        at_home_rows.select("vec", F.explode_outer("near").alias("entry"))
+    place = F.row_number().over(W.partitionBy("vec").orderBy("entry.square", "entry.vec"))
+    best = (
+        at_home_rows.select("vec", F.explode("near").alias("entry"))
         .unionByName(met.select("vec", entry.alias("entry")))
+        .withColumn("_place", place)
+        .where(F.col("_place") <= k)
         .groupBy("vec")
-        .agg(F.slice(F.array_sort(F.collect_list("entry")), 1, k).alias("neighbours"))
+        .agg(F.array_sort(F.collect_list("entry")).alias("neighbours"))
+    )
+    none = F.array().cast(f"array<{_ENTRY}>")
+    return vectors.select("vec").join(best, "vec", "left").select(
+        "vec", F.coalesce("neighbours", none).alias("neighbours")
     )

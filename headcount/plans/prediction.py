@@ -1,4 +1,4 @@
-"""Turnover prediction from a cleaned table to scored batches."""
+"""Turnover prediction from the raw table to scored batches."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from headcount.operators import balance, features, models
+from headcount.operators.columns import with_prediction_measures
+from headcount.operators.quality import clean, handle_outliers
 from headcount.session import cut_lineage
 
 
@@ -23,6 +25,25 @@ class Prepared:
         return self.plan.outputs
 
 
+def cleaned(
+    df: DataFrame,
+    as_of: str,
+    exclude: tuple[str, ...] = ("DOE",),
+    outlier_columns: list[str] | None = None,
+    outliers: str = "None",
+) -> DataFrame:
+    """The raw table with tenure and age, the null policy applied and outliers treated.
+
+    The exit date is left out of the policy: it is missing for all who stay.
+    """
+    measured = with_prediction_measures(df, as_of)
+    kept = clean(measured, [c for c in measured.columns if c not in exclude])
+    if outliers == "Remove" and outlier_columns:
+        # Each column's fences are a job of their own.
+        kept = cut_lineage(kept)
+    return handle_outliers(kept, outlier_columns or [], outliers)
+
+
 def prepare(
     df: DataFrame,
     target: str,
@@ -51,8 +72,13 @@ def prepare(
 
 
 def tune_and_score(
-    prepared: Prepared, batch: DataFrame, name: str, trials: int, seed: int = 42
+    prepared: Prepared,
+    batch: DataFrame,
+    name: str,
+    trials: int = models.TRIALS,
+    seed: int = 42,
+    dates: tuple[str, ...] = (),
 ) -> tuple[models.Tuned, DataFrame]:
     """Tune the chosen model on the balanced training rows and score a batch with it."""
     tuned = models.tune(prepared.train, prepared.columns, "label", name, trials, seed)
-    return tuned, models.score_batch(prepared.plan, tuned.model, batch, prepared.columns)
+    return tuned, models.score_batch(prepared.plan, tuned.model, batch, prepared.columns, dates)

@@ -42,9 +42,25 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+# Paths handed out to each application, for `release`.
+_HANDED_OUT: dict[str, list[str]] = {}
+
+
 def shared_path(spark: SparkSession, stem: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{stem}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{stem}-{uuid.uuid4().hex}"
+    _HANDED_OUT.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Remove every intermediate table of this application.
+
+    For the end of a view, when its results are written: frames that read from the
+    removed tables can no longer be computed.
+    """
+    for path in _HANDED_OUT.pop(spark.sparkContext.applicationId, []):
+        remove(spark, path)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

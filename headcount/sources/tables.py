@@ -15,8 +15,10 @@ def _header(spark: SparkSession, path: str) -> list[str]:
     return spark.read.option("header", True).option("inferSchema", False).csv(path).columns
 
 
-def read_table(spark: SparkSession, path: str, template: str | None = None) -> DataFrame:
-    """Read a CSV with a header, typed by the template of its kind.
+def read_table(
+    spark: SparkSession, path: str, template: str | T.StructType | None = None
+) -> DataFrame:
+    """Read a CSV with a header, typed by the template of its kind or by a schema.
 
     Columns are matched by name, so a file may hold them in any order, lack
     optional ones, or carry extra ones (kept as text). A missing required date
@@ -25,10 +27,12 @@ def read_table(spark: SparkSession, path: str, template: str | None = None) -> D
     """
     if template is None:
         return nan_to_null(spark.read.option("header", True).option("inferSchema", True).csv(path))
-    fields = {f.name.lower(): f for f in template_schema(template).fields}
+    named = isinstance(template, str)
+    fields = {f.name.lower(): f for f in (template_schema(template) if named else template).fields}
     text = T.StructType([T.StructField(c, T.StringType()) for c in _header(spark, path)])
     raw = strip_column_names(spark.read.option("header", True).option("enforceSchema", False).schema(text).csv(path))
-    require_columns(raw, list(REQUIRED_DATES[template]))
+    if named:
+        require_columns(raw, list(REQUIRED_DATES[template]))
     dates = [c for c in raw.columns if _kind(fields, c) == "date"]
     typed = coerce_dates(raw, dates)
     return nan_to_null(

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from headcount.functions.dates import MONTHS
 from headcount.operators.recruiting import recruitment_funnel
-from headcount.plans import attrition, diversity, exploration, recruitment
+from headcount.plans import attrition, diversity, exploration, prediction, recruitment
 from suite.analysis import _FLAGS, NAMES, _dimension_sql, _funnel_sql, _histogram_sql, rounded
 from suite.series import series_sql
 from suite.tables import LEAVERS, employees, years_sql
@@ -78,3 +80,20 @@ def _(spark, d):
 def _(spark, d):
     found = exploration.time_series(table(spark, d, "orders"), "o_orderdate", "o_totalprice", "monthly", 3)
     return rounded(found.trend)
+
+
+@query(
+    "prediction_flow",
+    f"""WITH c AS (SELECT EmployeeID, CASE WHEN Turnover = 'Yes' THEN 1 ELSE 0 END::DOUBLE AS label,
+         {years_sql(f"coalesce(DOE, DATE '{AS_OF}') - DOJ")} AS Tenure,
+         {years_sql(f"DATE '{AS_OF}' - DOB")} AS Age FROM hr_employees WHERE Department IS NOT NULL),
+       r AS (SELECT min(Tenure) AS t0, max(Tenure) AS t1, min(Age) AS a0, max(Age) AS a1, count(*) AS n FROM c),
+       s AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || EmployeeID::VARCHAR), EmployeeID)
+             <= ceil(n * 20 / 100::DOUBLE) AS is_test FROM c, r)
+       SELECT EmployeeID, label, round((Tenure - t0) / (t1 - t0), 6) AS Tenure,
+         round((Age - a0) / (a1 - a0), 6) AS Age FROM s WHERE is_test""",
+)
+def _(spark, d):
+    ready = prediction.cleaned(employees(spark, d), AS_OF)
+    made = prediction.prepare(ready, "Turnover", "EmployeeID", [], ["Tenure", "Age"])
+    return rounded(made.test.select("EmployeeID", "label", F.col("Tenure"), F.col("Age")))

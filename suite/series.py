@@ -176,9 +176,34 @@ def _(spark, d):
     return rounded(tests.t_test(table(spark, d, "lineitem"), *_LINE))
 
 
-@query("t_test_p")
+def _simpson(density: str, upto: str, source: str) -> str:
+    """The integral of a density of x from 0 to `upto`, in 4,000 even steps."""
+    weight = "CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    inner = f"SELECT i, {upto} * i / 4000::DOUBLE AS x, {upto} / 12000::DOUBLE AS h, * FROM {source}, range(0, 4001) r(i)"
+    return f"(SELECT sum({weight} * ({density}) * h) FROM ({inner}))"
+
+
+def _t_tail(t: str, freedom: str, source: str) -> str:
+    density = (
+        f"exp(lgamma(({freedom} + 1) / 2) - lgamma({freedom} / 2)) / sqrt({freedom} * pi())"
+        f" * pow(1 + x * x / {freedom}, -({freedom} + 1) / 2)"
+    )
+    return f"1 - 2 * {_simpson(density, t, source)}"
+
+
+def _with_p(found, digits: int = 6):
+    """A test with its statistic rounded, and its p-value to four places."""
+    return rounded(found.withColumn("p_value", F.round("p_value", 4)), digits)
+
+
+@query(
+    "t_test_p",
+    f"""WITH b AS (SELECT statistic, df, abs(statistic) AS t, df::DOUBLE AS v FROM ({ORACLES["t_test"]})),
+       p AS (SELECT statistic, df, round({_t_tail("t", "v", "b")}, 4) AS p_value FROM b)
+       SELECT *, p_value < 0.05 AS reject FROM p""",
+)
 def _(spark, d):
-    return rounded(tests.t_test_p(table(spark, d, "lineitem"), *_LINE))
+    return _with_p(tests.t_test_p(table(spark, d, "lineitem"), *_LINE))
 
 
 def _rank_sql(value: str, group: str) -> str:
@@ -203,9 +228,15 @@ def _(spark, d):
     return rounded(tests.mann_whitney(table(spark, d, "lineitem"), *_LINE))
 
 
-@query("mann_whitney_p")
+@query(
+    "mann_whitney_p",
+    f"""WITH b AS ({ORACLES["mann_whitney"]}),
+       p AS (SELECT *, round(least(1, 1 - 2 * {_simpson("exp(-x * x / 2) / sqrt(2 * pi())", "z", "b")}), 4)
+             AS p_value FROM b)
+       SELECT *, p_value < 0.05 AS reject FROM p""",
+)
 def _(spark, d):
-    return rounded(tests.mann_whitney_p(table(spark, d, "lineitem"), *_LINE))
+    return _with_p(tests.mann_whitney_p(table(spark, d, "lineitem"), *_LINE))
 
 
 @query(
@@ -218,9 +249,14 @@ def _(spark, d):
     return rounded(tests.kruskal_wallis(table(spark, d, "lineitem"), *_PRICE), 4)
 
 
-@query("kruskal_wallis_p")
+# With two degrees of freedom the chi-square tail is an exponential, and that of F a power.
+@query(
+    "kruskal_wallis_p",
+    f"""WITH p AS (SELECT statistic, df, round(exp(-statistic / 2), 4) AS p_value FROM ({ORACLES["kruskal_wallis"]}))
+        SELECT *, p_value < 0.05 AS reject FROM p""",
+)
 def _(spark, d):
-    return rounded(tests.kruskal_wallis_p(table(spark, d, "lineitem"), *_PRICE), 4)
+    return _with_p(tests.kruskal_wallis_p(table(spark, d, "lineitem"), *_PRICE), 4)
 
 
 @query(
@@ -235,9 +271,17 @@ def _(spark, d):
     return rounded(tests.one_way_anova(table(spark, d, "lineitem"), *_PRICE), 4)
 
 
-@query("one_way_anova_p")
+_F_TWO = "pow(1 + 2 * statistic / {v}, -{v} / 2)"
+
+
+@query(
+    "one_way_anova_p",
+    f"""WITH p AS (SELECT *, round({_F_TWO.format(v="df_within::DOUBLE")}, 4) AS p_value
+                   FROM ({ORACLES["one_way_anova"]}))
+        SELECT *, p_value < 0.05 AS reject FROM p""",
+)
 def _(spark, d):
-    return rounded(tests.one_way_anova_p(table(spark, d, "lineitem"), *_PRICE), 4)
+    return _with_p(tests.one_way_anova_p(table(spark, d, "lineitem"), *_PRICE), 4)
 
 
 # The second factor has two levels, so the additive fit has a closed form.
@@ -266,7 +310,21 @@ def _(spark, d):
     return found.select("term", F.round("sum_sq", 4).alias("sum_sq"), "df", F.round("statistic", 6).alias("statistic"))
 
 
-@query("two_way_anova_p")
+@query(
+    "two_way_anova_p",
+    f"""WITH b AS ({ORACLES["two_way_anova"]}), v AS (SELECT df::DOUBLE AS v FROM b WHERE term = 'Residual'),
+       one AS (SELECT sqrt(statistic) AS t, v FROM b, v WHERE term = 'b'),
+       p AS (SELECT b.*, round(CASE WHEN b.df = 2 THEN {_F_TWO.format(v="v.v")} WHEN term = 'b'
+             THEN {_t_tail("t", "v", "one")} END, 4) AS p_value FROM b, v)
+       SELECT *, p_value < 0.05 AS reject FROM p""",
+)
 def _(spark, d):
-    found = tests.two_way_anova_p(table(spark, d, "lineitem"), "l_extendedprice", "l_returnflag", "l_linestatus")
-    return rounded(found, 4)
+    found = tests.two_way_anova_p(table(spark, d, "lineitem"), "l_quantity", "l_returnflag", "l_linestatus")
+    return found.select(
+        "term",
+        F.round("sum_sq", 4).alias("sum_sq"),
+        "df",
+        F.round("statistic", 6).alias("statistic"),
+        F.round("p_value", 4).alias("p_value"),
+        "reject",
+    )

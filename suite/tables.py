@@ -48,10 +48,10 @@ def years_sql(days: str) -> str:
 def _(spark, d):
     source = employees(spark, d)
     path = tables.write_csv(source, shared_path(spark, "roundtrip"))
-    return spark.read.option("header", True).schema(source.schema).csv(path)
+    return tables.read_table(spark, path, source.schema)
 
 
-_TEXT_DATES = """CASE WHEN EmployeeID % 50 = 0 THEN '2025-11-31' ELSE CAST(DOJ AS VARCHAR) END"""
+_TEXT_DATES = """CASE WHEN EmployeeID % 50 = 0 THEN '2023-02-30' ELSE CAST(DOJ AS VARCHAR) END"""
 
 
 @query(
@@ -59,7 +59,7 @@ _TEXT_DATES = """CASE WHEN EmployeeID % 50 = 0 THEN '2025-11-31' ELSE CAST(DOJ A
     f"SELECT EmployeeID, TRY_CAST({_TEXT_DATES} AS DATE) AS DOJ, DOE FROM hr_employees",
 )
 def _(spark, d):
-    text = F.when(F.col("EmployeeID") % 50 == 0, "2025-11-31").otherwise(F.col("DOJ").cast("string"))
+    text = F.when(F.col("EmployeeID") % 50 == 0, "2023-02-30").otherwise(F.col("DOJ").cast("string"))
     raw = employees(spark, d).select("EmployeeID", text.alias("DOJ"), F.col("DOE").cast("string"))
     return dates.coerce_dates(raw, ["DOJ", "DOE"])
 

@@ -161,10 +161,26 @@ def test_smote_needs_enough_rows(spark):
     df = spark.range(20).select(F.col("id").cast("double").alias("x"), (F.col("id") < 3).cast("double").alias("y"))
     with pytest.raises(ValueError, match="more than 5 are needed"):
         balance.smote(df, "y", ["x"])
-    with pytest.raises(ValueError, match="two classes"):
+    with pytest.raises(ValueError, match="two to 1000 classes"):
         balance.smote(df.withColumn("y", F.lit(1.0)), "y", ["x"])
 
 
+def test_smote_fills_up_every_class(spark):
+    df = spark.range(90).selectExpr("id * 1.0D x", "CASE WHEN id < 50 THEN 0 WHEN id < 80 THEN 1 ELSE 2 END y")
+    got = balance.smote(df, "y", ["x"]).groupBy("y", "synthetic").count().collect()
+    assert {(r["y"], r["synthetic"]): r["count"] for r in got} == {
+        (0, False): 50, (1, False): 30, (1, True): 20, (2, False): 10, (2, True): 40,
+    }
+
+
+def test_a_batch_may_lack_columns_and_numbers(spark):
+    train = spark.createDataFrame([(1.0, "a", 5.0), (3.0, "b", 9.0)], "Pay double, Team string, Age double")
+    plan = features.fit_features(train, ["Team"], ["Pay", "Age"])
+    batch = spark.createDataFrame([(1, None, "b", "x"), (2, 2.0, None, "y")], "id int, PAY double, team string, more string")
+    got = plan.prepare_batch(batch, ["id"]).orderBy("id").collect()
+    assert [tuple(r) for r in got] == [(1, 0.0, 0.0, 1.0), (2, 0.5, 0.0, 0.0)]
+
+
 def test_edited_nearest_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "CELL_ROWS", 60)
     frame = _points(3, 400)

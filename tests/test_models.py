@@ -99,9 +99,24 @@ def test_parameters_reach_the_estimator():
         models.estimator("Perceptron", {}, 1)
 
 
-def test_folds_share_the_rows_evenly(spark):
-    sizes = [r["count"] for r in models.folds(spark.range(3000), ["id"]).groupBy("fold").count().collect()]
-    assert len(sizes) == 3 and min(sizes) > 900
+@pytest.mark.parametrize("distinct", [2, 50, 3000])
+def test_folds_share_each_class_evenly(spark, distinct):
+    rows = spark.range(3000).selectExpr(f"id % {distinct} * 1.0D x", "cast(id % 10 = 0 as double) y")
+    got = models.folds(rows, "y", ["x"]).groupBy("label", "fold").count().collect()
+    for label, size in ((0.0, 2700), (1.0, 300)):
+        counts = [r["count"] for r in got if r["label"] == label]
+        assert len(counts) == 3 and sum(counts) == size and max(counts) - min(counts) <= 1
+
+
+def test_few_distinct_rows_can_be_tuned(spark):
+    rows = spark.range(300).selectExpr("id % 2 * 1.0D x", "cast(id % 2 as double) y")
+    tuned = models.tune(rows, ["x"], "y", "Decision Tree", trials=2)
+    assert tuned.score == 1.0
+
+
+def test_an_undefined_score_loses():
+    assert models.best_trial([float("nan"), 0.2, 0.4, 0.4]) == 2
+    assert models.best_trial([float("nan"), 0.0]) == 1
 
 
 @pytest.mark.parametrize("name", ["Decision Tree", "Logistic Regression"])

@@ -39,13 +39,15 @@ def test_result_does_not_depend_on_partitions(spark):
     assert runs[0] == runs[1] == runs[2]
 
 
-def test_ranges_split_a_hot_group(spark):
+@pytest.mark.parametrize(("keys", "ranges"), [(2_000_000, 8), (500, 40)])
+def test_ranges_split_a_hot_group(spark, monkeypatch, keys, ranges):
     """No range holds a share of the distinct keys far above its part."""
+    monkeypatch.setattr(ordering, "RANGE_KEYS", keys)
     df = spark.range(20_000).select(F.lit("hot").alias("g"), F.col("id").alias("v"), F.lit(1).alias("n"))
     key = F.struct("g", "v")
-    found = ordering._located(df, key, ordering._cut_points(df, key, df.columns, 8), 8)
+    found = ordering._located(df, key, ordering._cut_points(df, key, df.columns, 8))
     sizes = [r["count"] for r in found.groupBy("_range").count().collect()]
-    assert sum(sizes) == 20_000 and max(sizes) < 3 * 20_000 / 8
+    assert sum(sizes) == 20_000 and max(sizes) < 3 * 20_000 / ranges
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])

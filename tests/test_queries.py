@@ -6,8 +6,6 @@ import __spark_entry__ as entry
 from suite import check
 
 SF = "/root/testdata/sf0.001"
-# Trained on whole tables: exercised by their own tests and by suite.check.
-SLOW = {"train_compare", "tune", "score_batch"}
 
 
 @pytest.fixture(scope="module")
@@ -15,7 +13,7 @@ def connection():
     return check.oracle_connection(SF)
 
 
-@pytest.mark.parametrize("name", [n for n in entry.queries() if n not in SLOW])
+@pytest.mark.parametrize("name", entry.queries())
 def test_query(spark, connection, name):
     difference = check.compare(
         spark, connection, entry.queries()[name], entry.oracle_sql().get(name), SF
