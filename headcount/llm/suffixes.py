@@ -324,18 +324,16 @@ def _spans(number: np.ndarray, start: np.ndarray) -> pd.DataFrame:
     cut = np.ones(len(number), dtype=bool)
     cut[1:] = (number[1:] != number[:-1]) | (start[1:] > start[:-1] + WINDOW)
     at = np.flatnonzero(cut)
-    last = np.append(at[1:], len(number)) - 1
+    last = np.append(at[1:], len(number))[: len(at)] - 1
     return pd.DataFrame({"ord": number[at], "start": start[at], "stop": start[last] + WINDOW})
 
 
-def _sort_bucket(group: pd.DataFrame) -> pd.DataFrame:
-    """The repeated windows of a bucket: neighbours in order that share a whole window."""
-    group = group.sort_values(["ord", "start"], kind="stable")
-    pieces, number, start = _trimmed(
-        group["piece"].to_list(), group["ord"].to_numpy(np.int64), group["start"].to_numpy(np.int64)
-    )
+def _repeated(pieces: list[bytes], number: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ord, start) of the windows that repeat earlier ones: neighbours in the order of all
+    suffixes that share a whole window, all but the first of them."""
+    pieces, number, start = _trimmed(pieces, number, start)
     if not pieces:
-        return pd.DataFrame({"ord": [], "start": [], "stop": []}, dtype="int64")
+        return number, start
     piece, offset, common = columns(pieces)
     alike = np.cumsum(common < WINDOW)
     full = offset <= np.array([len(p) for p in pieces])[piece] - WINDOW
@@ -344,7 +342,32 @@ def _sort_bucket(group: pd.DataFrame) -> pd.DataFrame:
     alike, number, start = alike[order], number[order], start[order]
     later = np.zeros(len(alike), dtype=bool)
     later[1:] = alike[1:] == alike[:-1]
-    return _spans(number[later], start[later])
+    return number[later], start[later]
+
+
+def _sort_bucket(group: pd.DataFrame) -> pd.DataFrame:
+    """The repeated windows of a bucket."""
+    number, start = group["ord"].to_numpy(np.int64), group["start"].to_numpy(np.int64)
+    return _spans(*_repeated(group["piece"].to_list(), number, start))
+
+
+def _cut_up(start: int, stop: int) -> list[tuple[int, int]]:
+    """Stretches of at most `PIECE` windows, as (first window, end of the last one)."""
+    return [
+        (at, min(at + PIECE, stop) + WINDOW - 1) for at in range(start, stop, PIECE)
+    ]
+
+
+def _own_repeats(text: bytes, start: int, windows: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Windows of a long run that repeat earlier ones of it, and the stretches of the others."""
+    parts = _cut_up(start, start + windows)
+    _, again = _repeated(
+        [text[a:b] for a, b in parts], np.zeros(len(parts), np.int64), np.array([a for a, _ in parts])
+    )
+    left = np.ones(windows, dtype=bool)
+    left[again - start] = False
+    edges = np.flatnonzero(np.diff(left, prepend=False, append=False)).reshape(-1, 2) + start
+    return again, [(int(a), int(b)) for a, b in edges]
 
 
 def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -358,27 +381,44 @@ def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 CUTS = "bucket long, ord long, start long, piece binary, low long, high long"
 
 
+#: What a row of a cut holds, by its bucket: pieces have buckets from 0 on.
+CROWDED, FOUND = -1, -2
+
+
 def _cut(buckets: int):
-    """Pieces of the runs to look into, and hashes of the windows of crowded anchors."""
+    """Pieces of the runs to look into, and hashes of the windows of crowded anchors.
+
+    A run of many windows repeats in itself, like a word said a thousand times. It is a
+    bucket of its own first, and what is left of it goes on.
+    """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         loosen = zstandard.ZstdDecompressor()
         for batch in batches:
-            rows, crowds = [], []
+            rows, crowds, found = [], [], []
             for number, packed, looks in zip(batch["ord"], batch["packed"], batch["looks"], strict=True):
                 text = loosen.decompress(packed)
                 for look in looks:
-                    for start in range(look["start"], look["start"] + look["windows"], PIECE):
-                        stop = min(start + PIECE, look["start"] + look["windows"]) + WINDOW - 1
-                        row = (look["anchor"] % buckets, number, start, text[start:stop])
-                        (crowds if look["crowd"] else rows).append(row)
+                    start, windows = look["start"], look["windows"]
+                    stretches = [(start, start + windows)]
+                    if windows > PIECE:
+                        again, stretches = _own_repeats(text, start, windows)
+                        found.append(_spans(np.full(len(again), number), again))
+                    for stretch in stretches:
+                        for a, b in _cut_up(*stretch):
+                            (crowds if look["crowd"] else rows).append(
+                                (look["anchor"] % buckets, number, a, text[a:b])
+                            )
             yield pd.DataFrame(rows, columns=["bucket", "ord", "start", "piece"]).assign(low=0, high=0)
+            if found:
+                spans = pd.concat(found).rename(columns={"stop": "low"})
+                yield spans.assign(bucket=FOUND, piece=b"", high=0)
             if crowds:
                 _, number, start, pieces = zip(*crowds, strict=True)
                 size = [len(p) - WINDOW + 1 for p in pieces]
                 yield pd.DataFrame(
                     {
-                        "bucket": -1,
+                        "bucket": CROWDED,
                         "ord": np.repeat(number, size),
                         "start": np.concatenate([np.arange(s, s + n) for s, n in zip(start, size, strict=True)]),
                         "piece": b"",
@@ -494,7 +534,7 @@ def repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
             .groupBy("bucket")
             .applyInPandas(_sort_bucket, SPANS)
         )
-        crowd = cuts.where(F.col("bucket") < 0).select("low", "high", "ord", "start")
+        crowd = cuts.where(F.col("bucket") == CROWDED).select("low", "high", "ord", "start")
         first = crowd.groupBy("low", "high").agg(
             F.min(F.struct("ord", "start")).alias("first"), F.count(F.lit(1)).alias("n")
         )
@@ -503,7 +543,8 @@ def repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
             .where(F.struct("ord", "start") > F.col("first"))
             .select("ord", "start", (F.col("start") + WINDOW).alias("stop"))
         )
-        spans = whole.union(within).union(apart)
+        own = cuts.where(F.col("bucket") == FOUND).select("ord", "start", F.col("low").alias("stop"))
+        spans = whole.union(within).union(apart).union(own)
     per_text = spans.groupBy("ord").agg(_struct("start", "stop").alias("spans"))
     done = packed.join(per_text, "ord", "left").mapInPandas(_finish(with_text), RESULT)
     names = numbered.select("ord", "doc_id", "copies")
