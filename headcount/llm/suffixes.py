@@ -358,16 +358,38 @@ def _cut_up(start: int, stop: int) -> list[tuple[int, int]]:
     ]
 
 
-def _own_repeats(text: bytes, start: int, windows: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Windows of a long run that repeat earlier ones of it, and the stretches of the others."""
-    parts = _cut_up(start, start + windows)
-    _, again = _repeated(
-        [text[a:b] for a, b in parts], np.zeros(len(parts), np.int64), np.array([a for a, _ in parts])
-    )
-    left = np.ones(windows, dtype=bool)
-    left[again - start] = False
-    edges = np.flatnonzero(np.diff(left, prepend=False, append=False)).reshape(-1, 2) + start
-    return again, [(int(a), int(b)) for a, b in edges]
+def _reduced(long: list[tuple]) -> tuple[pd.DataFrame, list[tuple]]:
+    """Repeats among the pieces of long runs, bucket by bucket, and the pieces that are left.
+
+    A piece is (anchor, crowd, ord, start, bytes). Whatever repeats an earlier window here
+    does so in the corpus; what is left goes on to meet the others.
+    """
+    long = sorted(long, key=lambda piece: piece[0])
+    found, left, at = [], [], 0
+    while at < len(long):
+        end, size = at, 0
+        while end < len(long) and (end == at or size < BUCKET):
+            size += len(long[end][4])
+            end += 1
+        group = long[at:end]
+        at = end
+        again = _repeated(
+            [p[4] for p in group], np.array([p[2] for p in group]), np.array([p[3] for p in group])
+        )
+        found.append(_spans(*again))
+        order = np.lexsort((again[1], again[0]))
+        numbers, starts = again[0][order], again[1][order]
+        for anchor, crowd, number, start, piece in group:
+            low, high = np.searchsorted(numbers, [number, number + 1])
+            own = starts[low:high]
+            low, high = np.searchsorted(own, [start, start + len(piece) - WINDOW + 1])
+            kept = np.ones(len(piece) - WINDOW + 1, dtype=bool)
+            kept[own[low:high] - start] = False
+            edges = np.flatnonzero(np.diff(kept, prepend=False, append=False)).reshape(-1, 2)
+            left += [
+                (anchor, crowd, number, start + a, piece[a : b + WINDOW - 1]) for a, b in edges
+            ]
+    return pd.concat(found), left
 
 
 def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -388,33 +410,32 @@ CROWDED, FOUND = -1, -2
 def _cut(buckets: int):
     """Pieces of the runs to look into, and hashes of the windows of crowded anchors.
 
-    A run of many windows repeats in itself, like a word said a thousand times. It is a
-    bucket of its own first, and what is left of it goes on.
+    A run of many windows repeats in itself, like a word said a thousand times. Such runs
+    are compared among themselves first, and what is left of them goes on.
     """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         loosen = zstandard.ZstdDecompressor()
         for batch in batches:
-            rows, crowds, found = [], [], []
+            pieces, long = [], []
             for number, packed, looks in zip(batch["ord"], batch["packed"], batch["looks"], strict=True):
                 text = loosen.decompress(packed)
                 for look in looks:
                     start, windows = look["start"], look["windows"]
-                    stretches = [(start, start + windows)]
-                    if windows > PIECE:
-                        again, stretches = _own_repeats(text, start, windows)
-                        found.append(_spans(np.full(len(again), number), again))
-                    for stretch in stretches:
-                        for a, b in _cut_up(*stretch):
-                            (crowds if look["crowd"] else rows).append(
-                                (look["anchor"] % buckets, number, a, text[a:b])
-                            )
-            yield pd.DataFrame(rows, columns=["bucket", "ord", "start", "piece"]).assign(low=0, high=0)
-            if found:
-                spans = pd.concat(found).rename(columns={"stop": "low"})
+                    (long if windows > PIECE else pieces).extend(
+                        (look["anchor"], look["crowd"], number, a, text[a:b])
+                        for a, b in _cut_up(start, start + windows)
+                    )
+            if long:
+                found, left = _reduced(long)
+                pieces += left
+                spans = found.rename(columns={"stop": "low"})
                 yield spans.assign(bucket=FOUND, piece=b"", high=0)
+            rows = [(p[0] % buckets, *p[2:]) for p in pieces if not p[1]]
+            crowds = [p[2:] for p in pieces if p[1]]
+            yield pd.DataFrame(rows, columns=["bucket", "ord", "start", "piece"]).assign(low=0, high=0)
             if crowds:
-                _, number, start, pieces = zip(*crowds, strict=True)
+                number, start, pieces = zip(*crowds, strict=True)
                 size = [len(p) - WINDOW + 1 for p in pieces]
                 yield pd.DataFrame(
                     {
