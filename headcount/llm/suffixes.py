@@ -330,19 +330,30 @@ def _spans(number: np.ndarray, start: np.ndarray) -> pd.DataFrame:
 
 def _repeated(pieces: list[bytes], number: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(ord, start) of the windows that repeat earlier ones: neighbours in the order of all
-    suffixes that share a whole window, all but the first of them."""
-    pieces, number, start = _trimmed(pieces, number, start)
-    if not pieces:
-        return number, start
-    piece, offset, common = columns(pieces)
-    alike = np.cumsum(common < WINDOW)
-    full = offset <= np.array([len(p) for p in pieces])[piece] - WINDOW
-    alike, number, start = alike[full], number[piece[full]], start[piece[full]] + offset[full]
-    order = np.lexsort((start, number, alike))
-    alike, number, start = alike[order], number[order], start[order]
-    later = np.zeros(len(alike), dtype=bool)
-    later[1:] = alike[1:] == alike[:-1]
-    return number[later], start[later]
+    suffixes that share a whole window, all but the first of them.
+
+    Of equal pieces the first stays, and the windows of the others repeat its own.
+    """
+    seen: set[bytes] = set()
+    first, again = [], []
+    for i in np.lexsort((start, number)):
+        (again if pieces[i] in seen else first).append(i)
+        seen.add(pieces[i])
+    size = [len(pieces[i]) - WINDOW + 1 for i in again]
+    numbers = [np.repeat(number[again], size)]
+    starts = [np.arange(start[i], start[i] + n) for i, n in zip(again, size, strict=True)]
+    pieces, number, start = _trimmed([pieces[i] for i in first], number[first], start[first])
+    if pieces:
+        piece, offset, common = columns(pieces)
+        alike = np.cumsum(common < WINDOW)
+        full = offset <= np.array([len(p) for p in pieces])[piece] - WINDOW
+        alike, number, start = alike[full], number[piece[full]], start[piece[full]] + offset[full]
+        order = np.lexsort((start, number, alike))
+        alike, number, start = alike[order], number[order], start[order]
+        later = np.flatnonzero(alike[1:] == alike[:-1]) + 1
+        numbers.append(number[later])
+        starts.append(start[later])
+    return np.concatenate(numbers), np.concatenate([np.empty(0, np.int64), *starts])
 
 
 def _sort_bucket(group: pd.DataFrame) -> pd.DataFrame:
