@@ -23,6 +23,7 @@ from pyspark.storagelevel import StorageLevel
 from headcount.functions.ordering import running_sum
 from headcount.operators.features import FeaturePlan
 from headcount.operators.scoring import evaluate, rank_models
+from headcount.session import cut_lineage
 
 # The models on offer, and what each is trained with by default.
 MODELS = ("Logistic Regression", "Decision Tree", "Random Forest", "xgboost", "LightGBM")
@@ -237,11 +238,10 @@ def cross_validate(
 
     `parallelism` fits run at a time, each on the stored folds.
     """
-    ready = (
-        folds(df, label, features, seed=seed)
-        .select(array_to_vector("vec").alias(_VECTOR), F.col("label").alias(_LABEL), "fold")
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
+    dealt = cut_lineage(folds(df, label, features, seed=seed))
+    ready = dealt.select(
+        array_to_vector("vec").alias(_VECTOR), F.col("label").alias(_LABEL), "fold"
+    ).persist(StorageLevel.MEMORY_AND_DISK)
     judge = MulticlassClassificationEvaluator(
         labelCol=_LABEL, metricName="fMeasureByLabel", metricLabel=1.0
     )

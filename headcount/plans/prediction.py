@@ -63,12 +63,18 @@ def prepare(
     plan = features.fit_features(df, categorical, numeric)
     labelled = features.with_target(df, target).where(F.col("label").isNotNull())
     ready = plan.transform(labelled, [key, "label"])
-    split = features.train_test_split(ready, key, test_pct, seed)
+    split = cut_lineage(features.train_test_split(ready, key, test_pct, seed))
     train, test = split.where(~F.col("is_test")), split.where(F.col("is_test"))
     strategy = "none"
     if balanced:
         strategy, train = balance.balance(train, "label", plan.outputs, key, seed)
-    return Prepared(plan, train.select("label", *plan.outputs), test.select(key, "label", *plan.outputs), strategy)
+    # The training rows are read by every model that is trained or tuned.
+    return Prepared(
+        plan,
+        cut_lineage(train.select("label", *plan.outputs)),
+        test.select(key, "label", *plan.outputs),
+        strategy,
+    )
 
 
 def tune_and_score(
