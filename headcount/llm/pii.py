@@ -4,7 +4,8 @@ Patterns find the protected entities: addresses, numbers of cards and phones. A
 that keeps appearing beside one entity and seldom without it reveals that entity even
 where the entity itself is masked. How much is measured on the whole corpus: the
 pointwise mutual information of term and entity, as a share of the information the
-entity carries. Terms at or above the threshold are masked beside it too.
+entity carries. Terms at or above the threshold are masked wherever they are written,
+in texts without the entity too.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ TERM_RANK = len(KINDS)
 BESIDE, REACH = 8, 160
 #: Share of an entity's information that a term may give.
 DISCLOSURE = 0.9
-#: Different surroundings in which term and entity must meet: one is chance or a copy.
-SUPPORT = 3
+#: Disclosing terms that may be broadcast.
+BROADCAST_TERMS = 200_000
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -115,7 +116,7 @@ def _beside(text: str, spans: list[Span], start: int, end: int) -> list[tuple[st
     ]
 
 
-MENTION = "struct<entity:long,context:long,terms:array<struct<term:string,start:int,end:int>>>"
+MENTION = "struct<entity:long,context:long,terms:array<string>>"
 SCAN = f"doc_id long, mark long, base array<struct<start:int,rank:int,end:int>>, mentions array<{MENTION}>"
 
 
@@ -124,17 +125,18 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         base, mentions = [], []
         for text in batch["text"]:
             spans = base_spans(text)
-            beside: dict[int, set[tuple[str, int, int]]] = {}
+            beside: dict[int, set[str]] = {}
             for start, kind, end in spans:
                 entity = _entity(kind, text[start:end])
-                beside.setdefault(entity, set()).update(_beside(text, spans, start, end))
+                near = {w for w, _, _ in _beside(text, spans, start, end)}
+                beside.setdefault(entity, set()).update(near)
             base.append([{"start": s, "rank": k, "end": e} for s, k, e in spans])
             mentions.append(
                 [
                     {
                         "entity": entity,
-                        "context": xxhash.xxh64_intdigest(" ".join(sorted({w for w, _, _ in near}))) >> 1,
-                        "terms": [{"term": w, "start": a, "end": b} for w, a, b in sorted(near, key=lambda x: x[1:])],
+                        "context": xxhash.xxh64_intdigest(" ".join(sorted(near))) >> 1,
+                        "terms": sorted(near),
                     }
                     for entity, near in beside.items()
                 ]
@@ -149,26 +151,42 @@ def _frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         seen: Counter[str] = Counter()
         for text in batch["text"]:
-            seen.update(set(TERM.findall(text.lower())))
+            seen.update({w.lower() for w in TERM.findall(text)})
         yield pd.DataFrame({"term": list(seen), "n": list(seen.values())})
 
 
+def _places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Where each term of a text is written."""
+    for batch in batches:
+        marks, terms, places = [], [], []
+        for mark, text in zip(batch["mark"], batch["text"], strict=True):
+            own: dict[str, list[dict[str, int]]] = {}
+            for m in TERM.finditer(text):
+                own.setdefault(m[0].lower(), []).append({"start": m.start(), "end": m.end()})
+            marks += [mark] * len(own)
+            terms += own
+            places += own.values()
+        yield pd.DataFrame({"mark": marks, "term": terms, "places": places})
+
+
 def disclosing(scanned: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(entity, term, disclosure) at or above the threshold.
 
     Frequencies are of documents, whole texts and all of them; pairs are counted where
-    the term is beside the entity. An entity in every document carries no information,
-    so nothing discloses it.
+    the term is beside the entity. Every pair is judged. The share of a term's documents
+    that have the entity beside it is lowered as if one more surrounding had the term
+    alone: against one surrounding, which may be chance or copies, that is a half, and
+    against many it is nothing. An entity in every document carries no information, so
+    nothing discloses it.
     """
     mentions = scanned.select(F.explode("mentions").alias("m")).select("m.*")
     per_entity = mentions.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     pairs = (
-        mentions.select("entity", "context", F.explode(F.array_distinct("terms.term")).alias("term"))
+        mentions.select("entity", "context", F.explode("terms").alias("term"))
         .groupBy("entity", "term", "context")
         .agg(F.count(F.lit(1)).alias("n"))
         .groupBy("entity", "term")
         .agg(F.sum("n").alias("n_pair"), F.count(F.lit(1)).alias("contexts"))
-        .where(F.col("contexts") >= SUPPORT)
     )
     pairs, _ = scratch.keep(pairs.join(per_entity, "entity"))
     if pairs.isEmpty():
@@ -183,7 +201,8 @@ def disclosing(scanned: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFra
     )
     total = F.lit(float(scanned.count()))
     carried = F.log(total / F.col("n_entity"))
-    given = F.log(F.col("n_pair") * total / (F.col("n_term") * F.col("n_entity")))
+    share = F.col("n_pair") / F.col("n_term") * F.col("contexts") / (F.col("contexts") + 1)
+    given = F.log(share * total / F.col("n_entity"))
     return (
         pairs.join(per_term, "term")
         .where(carried > 0)
@@ -226,22 +245,29 @@ def find(docs: DataFrame) -> DataFrame:
         .withColumn("doc_id", F.col("doc_id").cast("long"))
     )
     told, _ = scratch.keep(disclosing(scanned, docs, scratch))
+    terms, _ = scratch.keep(told.select("term").distinct())
+    few = terms.count() <= BROADCAST_TERMS
     added = (
-        scanned.select("mark", F.explode("mentions").alias("m"))
-        .select("mark", "m.entity", F.explode("m.terms").alias("t"))
-        .select("mark", "entity", "t.*")
-        .distinct()
-        .join(told.select("entity", "term"), ["entity", "term"], "left_semi")
+        source.select("mark", "text")
+        .mapInPandas(_places, "mark long, term string, places array<struct<start:int,end:int>>")
+        .join(F.broadcast(terms) if few else terms, "term", "left_semi")
+        .distinct()  # equal texts
+        .select("mark", F.explode("places").alias("t"))
         .groupBy("mark")
         .agg(
-            F.collect_set(F.struct("start", F.lit(TERM_RANK).alias("rank"), "end")).alias("added")
+            F.collect_list(F.struct("t.start", F.lit(TERM_RANK).alias("rank"), "t.end")).alias("found")
         )
     )
     none = F.array().cast("array<struct<start:int,rank:int,end:int>>")
+    outside = F.filter(
+        "found",
+        lambda t: ~F.exists("base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])),
+    )
     counts = [_count(rank).alias(f"n_{kind}") for rank, kind in enumerate(KINDS)]
     return (
         scanned.select("doc_id", "mark", "base")
         .join(added, "mark", "left")
+        .withColumn("added", F.when(F.size("base") == 0, F.col("found")).otherwise(outside))
         .withColumn("masks", F.array_sort(F.concat("base", F.coalesce("added", none))))
         .select(
             "doc_id",

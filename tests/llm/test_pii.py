@@ -113,3 +113,25 @@ def test_sanitise(spark):
 def test_empty(spark):
     frame = spark.createDataFrame([], SCHEMA)
     assert pii.find(frame).collect() == [] and pii.sanitise(frame).collect() == []
+
+
+def test_every_pair_is_judged_and_masked_everywhere(spark):
+    """Two surroundings are enough for a term of its own; it is masked far off and alone."""
+    far = "plain words " * 40
+    data = [(i, f"plain words number {i} of a large table", "", "") for i in range(400)]
+    data += [(500, f"Zaphod has words z@example.org. {far} ZAPHOD again", "", "")]
+    data += [(501, "large plain Zaphod, z@example.org table", "", "")]
+    data += [(502, "the table of zaphod alone", "", "")]
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame(data[:-1], SCHEMA)).collect()}
+    texts = {d: t for d, t, *_ in data}
+
+    def terms(i):
+        spans = [s.split(":") for s in got[i].spans.split(",") if s.startswith("term")]
+        return [texts[i][int(a) : int(b)] for _, a, b in spans]
+
+    assert terms(500).count("Zaphod") == terms(500).count("ZAPHOD") == 1 and terms(501) == ["Zaphod"]
+    # where the entity is not written: one text of six has the term without it
+    data += [(600 + i, f"Zaphod wrote {'abcd'[i]}{'efgh'[i]}x to z@example.org", "", "") for i in range(4)]
+    texts = {d: t for d, t, *_ in data}
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame(data, SCHEMA)).collect()}
+    assert terms(502) == ["zaphod"] and not any(terms(i) for i in range(400))
