@@ -3,6 +3,7 @@
 Texts become words in lower case in which numbers, names and units are typed slots
 that remember their value. Windows of words are compared with all slot values masked,
 so a question asked again with other numbers or names meets its template. Windows of
+plain words in lower case are compared too, so a copy is found in any case. Windows of
 one alignment of document and item then have to fill the slots consistently: a value
 of the item always stands for the same value of the document.
 
@@ -36,25 +37,32 @@ UNITS = (
     " metre metres meter meters litre litres liter liters gram grams kilogram kilograms"
 )
 
-#: Starts a slot: followed by n (number), u (unit) or p (proper name) and the value.
+#: Starts a slot: followed by n (number), u (unit) or p (proper name) and the value; with
+#: s, a capitalised word at another place, which may be a name.
 MARK = "\u0001"
 
 
-def words(text: Column) -> Column:
+def words(text: Column, starts: bool = False) -> Column:
     """The words of a text in lower case, slots marked; null gives none.
 
-    A name is a capitalised word after a lower-case letter or a comma and one space; the
-    first word of a sentence is none. Punctuation, symbols and white space separate words.
+    A name is a capitalised word after a lower-case letter or a comma, white space and at
+    most one quote; the first word of a sentence is none, but marked if `starts` says so.
+    White space of any length is one space. Punctuation, symbols and white space separate words.
     """
     units = "|".join(sorted(UNITS.split(), key=len, reverse=True))
     text = F.translate(F.coalesce(text, F.lit("")), MARK, " ")
-    text = F.regexp_replace(text, r"\p{Lu}(?<=[\p{Ll},;]\s\p{Lu})\p{Ll}+", MARK + "p$0")
+    text = F.regexp_replace(text, r"[\s\u0085\u00a0\u2028\u2029]+", " ")
+    text = F.regexp_replace(
+        text, r"\p{Lu}(?<=[\p{Ll},;] [\"'\u2018\u201c\u201e\u00ab(]{0,1}\p{Lu})\p{Ll}+", MARK + "p$0"
+    )
     text = F.regexp_replace(text, r"([0-9])[.,](?=[0-9])", "$1_")
     text = F.regexp_replace(
         text,
         rf"([0-9])\s?(?:((?i:{units}))(?![\p{{L}}\p{{N}}])|[%€$£°])",
         f"$1 {MARK}u$2 ",
     )
+    if starts:
+        text = F.regexp_replace(text, r"\p{Lu}(?<![\p{L}\p{N}_].)\p{Ll}+", MARK + "s$0")
     text = F.regexp_replace(text, r"[0-9](?<![\p{L}\p{N}_].)[0-9_]*", f" {MARK}n$0")
     return F.array_remove(F.split(F.lower(text), rf"[^\p{{L}}\p{{N}}{MARK}_]+"), "")
 
@@ -63,6 +71,24 @@ def is_slot(word: Column) -> Column:
     return word.startswith(MARK)
 
 
+def _bare(word: Column) -> Column:
+    """A word without its mark."""
+    return F.when(is_slot(word), F.substr(word, F.lit(3))).otherwise(word)
+
+
+def _may_be_name(word: Column) -> Column:
+    return word.startswith(MARK + "s")
+
+
+def _named(word: Column) -> Column:
+    """A word that may be a name, as a name."""
+    return F.when(_may_be_name(word), F.concat(F.lit(MARK + "p"), _bare(word))).otherwise(word)
+
+
+def _unnamed(word: Column) -> Column:
+    return F.when(_may_be_name(word), _bare(word)).otherwise(word)
+
+
 def masks(tokens: Column) -> Column:
     """A hash per word; that of a slot is of its type alone."""
     return F.transform(
@@ -71,31 +97,58 @@ def masks(tokens: Column) -> Column:
     )
 
 
-def _window(start: Column, length: int) -> Column:
-    """The hash of `length` words from `start` on, in the column `masks`."""
-    return F.xxhash64(*[F.get("masks", start + k) for k in range(length)])
+def _window(start: Column, length: int, name: str = "masks") -> Column:
+    """The hash of `length` words from `start` on, in the column `name`."""
+    return F.xxhash64(*[F.get(name, start + k) for k in range(length)])
+
+
+#: Hashes of a document's words: in two readings of what may be a name, and without slots.
+READINGS = ("masks", "as_names", "plain")
 
 
 def _windows(length: int) -> Column:
-    """The hashes of all windows, in order."""
+    """(pos, hash) of all windows in order, once for each different reading of a window.
+
+    One flat array: rows would carry all words of a document from one explode to the next.
+    """
     last = F.size("masks") - length
     starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: _window(i, length))
+    return F.flatten(
+        F.transform(
+            starts,
+            lambda i: F.transform(
+                F.array_distinct(F.array(*[_window(i, length, name) for name in READINGS])),
+                lambda h: F.struct(i.alias("pos"), h.alias("hash")),
+            ),
+        )
+    )
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """(hash, item_id, at, slots, of): the windows of each item's template.
+    """(hash, item_id, at, slots, exact, of): the windows of each item's template.
 
     `at` is the place of the window's first word, `slots` are the marked words in it and
-    `of` is the number of windows of the item. Windows with too few words that are no
+    `of` is the number of windows of the item. A word that the item has as a name elsewhere
+    is a name at the start of a sentence. Windows with slots are there once more with
+    their plain words, which is `exact`. Windows with too few words that are no
     slots are left out; an item that has no others cannot be told from any text.
     """
     items = (
         benchmark.select(
-            F.col("item_id").cast("long").alias("item_id"), words(F.col("text")).alias("tokens")
+            F.col("item_id").cast("long").alias("item_id"),
+            words(F.col("text"), starts=True).alias("tokens"),
         )
         .distinct()
+        .withColumn("names", F.filter("tokens", lambda w: w.startswith(MARK + "p")))
+        .withColumn(
+            "tokens",
+            F.transform(
+                "tokens",
+                lambda w: F.when(F.array_contains("names", _named(w)), _named(w)).otherwise(_unnamed(w)),
+            ),
+        )
         .withColumn("masks", masks(F.col("tokens")))
+        .withColumn("plain", F.transform("tokens", lambda w: F.xxhash64(_bare(w))))
         .where(F.size("tokens") > 0)
         .withColumn("length", F.least(F.size("tokens"), F.lit(WINDOW)))
     )
@@ -103,17 +156,23 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     rows = items.withColumn("at", F.explode(starts)).withColumn(
         "slots", F.filter(F.slice("tokens", F.col("at") + 1, F.col("length")), is_slot)
     )
-    kept = rows.where(F.col("length") - F.size("slots") >= LITERALS).select(
+    enough = F.col("length") - F.size("slots") >= LITERALS
+    template, exact = [
         F.coalesce(
-            *[F.when(F.col("length") == n, _window(F.col("at"), n)) for n in range(1, WINDOW + 1)]
-        ).alias("hash"),
-        "item_id",
-        "at",
-        "length",
-        "slots",
-    )
+            *[F.when(F.col("length") == n, _window(F.col("at"), n, name)) for n in range(1, WINDOW + 1)]
+        )
+        for name in ("masks", "plain")
+    ]
+    rows = rows.select("item_id", "at", "length", "slots", enough.alias("enough"), template.alias("template"), exact.alias("plain"))
+    kept = rows.where("enough")
     of = kept.groupBy("item_id").agg(F.count_distinct("at").alias("of"))
-    return kept.join(of, "item_id")
+    kept = kept.withColumn("exact", F.lit(False)).withColumnRenamed("template", "hash").drop("plain").unionByName(
+        kept.where(F.size("slots") > 0)
+        .withColumn("exact", F.lit(True))
+        .withColumnRenamed("plain", "hash")
+        .drop("template")
+    )
+    return kept.drop("enough").join(of, "item_id")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -133,22 +192,33 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     text = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"),
-        words(F.col("text")).alias("tokens"),
-    ).withColumn("masks", masks(F.col("tokens")))
+        words(F.col("text"), starts=True).alias("tokens"),
+    )
+    text = (
+        text.withColumn("masks", masks(F.transform("tokens", _unnamed)))
+        .withColumn("as_names", masks(F.transform("tokens", _named)))
+        .withColumn("plain", F.transform("tokens", lambda w: F.xxhash64(_bare(w))))
+    )
     found = []
     for length in lengths or []:
         rows = text.select(
             "doc_id",
             "mark",
             "tokens",
-            F.posexplode(_windows(length)).alias("pos", "hash"),
+            F.inline(_windows(length)).alias("pos", "hash"),
         )
         own = bench.where(F.col("length") == length).withColumnRenamed("slots", "asked").drop("length")
-        slots = F.filter(F.slice("tokens", F.col("pos") + 1, F.lit(length)), is_slot)
+        # word by word: a slice would copy all words of the document for each window
+        slots = F.filter(F.array(*[F.get("tokens", F.col("pos") + k) for k in range(length)]), is_slot)
         if small:
             rows = rows.join(F.broadcast(own), "hash").withColumn("filled", slots)
         else:
             rows = rows.withColumn("filled", slots).drop("tokens").join(own, "hash")
+        # a window matched with its possible names as slots has as many as were asked
+        sure = F.filter("filled", lambda w: ~_may_be_name(w))
+        filled = F.when(F.col("exact"), F.col("asked"))
+        filled = filled.when(F.size(sure) == F.size("asked"), sure)
+        rows = rows.withColumn("filled", filled.otherwise(F.transform("filled", _named)))
         found.append(rows.select("doc_id", "mark", "item_id", "of", "at", "pos", "asked", "filled"))
     if not found:
         return docs.sparkSession.createDataFrame(

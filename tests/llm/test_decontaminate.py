@@ -77,3 +77,17 @@ def test_clean(spark):
 
 def test_empty(spark):
     assert found(spark, [], [(1, PLAIN)]) == found(spark, [(1, PLAIN)], []) == set()
+
+
+def test_copies_in_another_case_and_spacing(spark):
+    names = "When Tom met Anna near Paris, Carl gave Dora a letter from Emil about Rome and Fritz saw Greta"
+    docs = [(1, names.lower()), (2, names.upper()), (3, names.replace(" ", "  ")), (4, names.replace(" ", "\r\n")), (5, FILLER)]
+    assert found(spark, docs, [(0, names)]) == {(1, 0), (2, 0), (3, 0), (4, 0)}
+
+
+def test_names_that_open_a_sentence(spark):
+    item = "Tom buys nine old books. Tom sells two red cars. Now we ask Tom about them"
+    docs = [(1, item.replace("Tom", "Anna")), (2, item), (3, item.replace("Tom buys", "Anna buys"))]
+    assert found(spark, docs, [(0, item)]) >= {(1, 0), (2, 0)}
+    quoted = "they met \"Tom\" beside two old houses"
+    assert plain_words(spark, quoted)[2] == decontaminate.MARK + "ptom"
