@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headcount.llm import ann, decontaminate, html, mixing, pii, quality, sharding, simhash, suffixes, tokens
+from headcount.llm import (
+    ann,
+    decontaminate,
+    html,
+    mixing,
+    pii,
+    quality,
+    secrets,
+    sharding,
+    simhash,
+    spelling,
+    suffixes,
+    tokens,
+    whitening,
+)
 from headcount.session import shared_path
 
 
@@ -86,6 +100,22 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents, and weak parts that complete a credential."""
+    found = secrets.find(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_linked")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings on the eight first components of their covariance, whitened."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=8)
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of all documents that are long and frequent enough, and what they vary."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_suffixes": op2_suffixes,
@@ -97,6 +127,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_neighbours": op8_neighbours,
     "op9_pii": op9_pii,
     "op10_html": op10_html,
+    "op11_secrets": op11_secrets,
+    "op12_whitening": op12_whitening,
+    "op13_spelling": op13_spelling,
 }
 
 ORACLES: dict[str, str] = {}
