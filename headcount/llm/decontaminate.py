@@ -5,7 +5,8 @@ that remember their value. Windows of words are compared with all slot values ma
 so a question asked again with other numbers or names meets its template. Windows of
 plain words in lower case are compared too, so a copy is found in any case. Windows of
 one alignment of document and item then have to fill the slots consistently: a value
-of the item always stands for the same value of the document.
+of the item always stands for the same value of the document, and windows that
+contradict the most frequent one do not count.
 
 Only column expressions are used. Window hashes of the documents are looked up where
 they are made if the benchmark is proved small enough to broadcast, and joined by a
@@ -14,6 +15,10 @@ shuffle otherwise. Everything after that join is about matched windows alone.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +30,8 @@ WINDOW = 5
 LITERALS = 3
 #: Share of an item's windows that a document must hold.
 COVER = 0.5
+#: Windows in a row that make a leak whatever their share of the item.
+STRETCH = 50
 #: Windows of the benchmark that may be broadcast, of about 100 bytes each.
 BROADCAST_WINDOWS = 500_000
 
@@ -42,6 +49,10 @@ UNITS = (
 MARK = "\u0001"
 
 
+#: White space that is not one space alone.
+ODD_SPACE = ("  ", "\t", "\n", "\x0b", "\x0c", "\r", "\u0085", "\u00a0", "\u2028", "\u2029")
+
+
 def words(text: Column, starts: bool = False) -> Column:
     """The words of a text in lower case, slots marked; null gives none.
 
@@ -50,8 +61,11 @@ def words(text: Column, starts: bool = False) -> Column:
     White space of any length is one space. Punctuation, symbols and white space separate words.
     """
     units = "|".join(sorted(UNITS.split(), key=len, reverse=True))
-    text = F.translate(F.coalesce(text, F.lit("")), MARK, " ")
-    text = F.regexp_replace(text, r"[\s\u0085\u00a0\u2028\u2029]+", " ")
+    text = F.coalesce(text, F.lit(""))
+    text = F.when(F.contains(text, F.lit(MARK)), F.translate(text, MARK, " ")).otherwise(text)
+    # most texts have single spaces alone, which is seen faster than replaced
+    odd = reduce(or_, [F.contains(text, F.lit(c)) for c in ODD_SPACE])
+    text = F.when(odd, F.regexp_replace(text, r"[\s\u0085\u00a0\u2028\u2029]+", " ")).otherwise(text)
     text = F.regexp_replace(
         text, r"\p{Lu}(?<=[\p{Ll},;] [\"'\u2018\u201c\u201e\u00ab(]{0,1}\p{Lu})\p{Ll}+", MARK + "p$0"
     )
@@ -89,49 +103,69 @@ def _unnamed(word: Column) -> Column:
     return F.when(_may_be_name(word), _bare(word)).otherwise(word)
 
 
-def masks(tokens: Column) -> Column:
-    """A hash per word; that of a slot is of its type alone."""
-    return F.transform(
-        tokens,
-        lambda w: F.xxhash64(F.when(is_slot(w), F.substring(w, 1, 2)).otherwise(w)),
-    )
+def _mask(word: Column) -> Column:
+    """A word; of a slot its type alone."""
+    return F.when(is_slot(word), F.substring(word, 1, 2)).otherwise(word)
 
 
-def _window(start: Column, length: int, name: str = "masks") -> Column:
-    """The hash of `length` words from `start` on, in the column `name`."""
-    return F.xxhash64(*[F.get(name, start + k) for k in range(length)])
+def _hash(words: list[Column], reading: Callable[[Column], Column]) -> Column:
+    return F.xxhash64(*[F.xxhash64(reading(w)) for w in words])
 
 
-#: Hashes of a document's words: in two readings of what may be a name, and without slots.
-READINGS = ("masks", "as_names", "plain")
+#: What a document's word is hashed as: its plain form, and in a template, where what may
+#: be a name is none or is one.
+READINGS = {
+    "plain": _bare,
+    "template": lambda w: _mask(_unnamed(w)),
+    "as_names": lambda w: _mask(_named(w)),
+}
 
 
-def _windows(length: int) -> Column:
-    """(pos, hash) of all windows in order, once for each different reading of a window.
+def _hashes(reading: Callable[[Column], Column]) -> Column:
+    return F.transform("tokens", lambda w: F.xxhash64(reading(w)))
 
-    One flat array: rows would carry all words of a document from one explode to the next.
+
+def _windows(text: DataFrame, length: int) -> DataFrame:
+    """(doc_id, mark, pos, plain, template, as_names, marked): all windows of `length` words.
+
+    The hashes of a window are of the hashes of its words; `marked` holds the marked words.
+    Words are hashed once each, windows in generated code after the explode.
     """
-    last = F.size("masks") - length
-    starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.flatten(
-        F.transform(
-            starts,
-            lambda i: F.transform(
-                F.array_distinct(F.array(*[_window(i, length, name) for name in READINGS])),
-                lambda h: F.struct(i.alias("pos"), h.alias("hash")),
-            ),
-        )
+    rows = text
+    for name, reading in READINGS.items():
+        rows = rows.withColumn(name, _hashes(reading))
+    rows = rows.withColumn("marked", F.transform("tokens", lambda w: F.when(is_slot(w), w)))
+    count = F.greatest(F.size("tokens") - length + 1, F.lit(0))
+    parts = [F.slice(name, k + 1, count).alias(f"{name}{k}") for name in (*READINGS, "marked") for k in range(length)]
+    rows = rows.select("doc_id", "mark", F.posexplode(F.arrays_zip(*parts)).alias("pos", "w"))
+    return rows.select(
+        "doc_id",
+        "mark",
+        "pos",
+        *[F.xxhash64(*[f"w.{name}{k}" for k in range(length)]).alias(name) for name in READINGS],
+        F.array(*[f"w.marked{k}" for k in range(length)]).alias("marked"),
     )
 
 
+def _looked_up(rows: DataFrame, own: DataFrame) -> DataFrame:
+    """The windows with one of the hashes, where a small table of hashes is at hand."""
+    known = F.broadcast(own.select(F.col("hash").alias("known"), F.lit(True).alias("met")).distinct())
+    for name in READINGS:
+        rows = rows.join(known, F.col(name) == F.col("known"), "left").drop("known")
+        rows = rows.withColumnRenamed("met", f"met_{name}")
+    met = reduce(or_, [F.col(f"met_{name}").isNotNull() for name in READINGS])
+    return rows.where(met).drop(*[f"met_{name}" for name in READINGS])
+
+
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     """(hash, item_id, at, slots, exact, of): the windows of each item's template.
 
     `at` is the place of the window's first word, `slots` are the marked words in it and
     `of` is the number of windows of the item. A word that the item has as a name elsewhere
     is a name at the start of a sentence. Windows with slots are there once more with
-    their plain words, which is `exact`. Windows with too few words that are no
-    slots are left out; an item that has no others cannot be told from any text.
+    their plain words, which is `exact`. Windows with too few words that are no slots are
+    left out; an item that has no others is met by its plain words alone. An item of one
+    word cannot be told from any text and has no windows.
     """
     items = (
         benchmark.select(
@@ -147,9 +181,7 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
                 lambda w: F.when(F.array_contains("names", _named(w)), _named(w)).otherwise(_unnamed(w)),
             ),
         )
-        .withColumn("masks", masks(F.col("tokens")))
-        .withColumn("plain", F.transform("tokens", lambda w: F.xxhash64(_bare(w))))
-        .where(F.size("tokens") > 0)
+        .where(F.size("tokens") > 1)
         .withColumn("length", F.least(F.size("tokens"), F.lit(WINDOW)))
     )
     starts = F.sequence(F.lit(0), F.size("tokens") - F.col("length"))
@@ -159,27 +191,38 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     enough = F.col("length") - F.size("slots") >= LITERALS
     template, exact = [
         F.coalesce(
-            *[F.when(F.col("length") == n, _window(F.col("at"), n, name)) for n in range(1, WINDOW + 1)]
+            *[
+                F.when(F.col("length") == n, _hash([F.get("tokens", F.col("at") + k) for k in range(n)], reading))
+                for n in range(2, WINDOW + 1)
+            ]
         )
-        for name in ("masks", "plain")
+        for reading in (_mask, _bare)
     ]
     rows = rows.select("item_id", "at", "length", "slots", enough.alias("enough"), template.alias("template"), exact.alias("plain"))
-    kept = rows.where("enough")
-    of = kept.groupBy("item_id").agg(F.count_distinct("at").alias("of"))
-    kept = kept.withColumn("exact", F.lit(False)).withColumnRenamed("template", "hash").drop("plain").unionByName(
-        kept.where(F.size("slots") > 0)
-        .withColumn("exact", F.lit(True))
-        .withColumnRenamed("plain", "hash")
-        .drop("template")
+    of = rows.groupBy("item_id").agg(
+        F.bool_or("enough").alias("open"),
+        F.coalesce(
+            F.nullif(F.count_distinct(F.when(F.col("enough"), F.col("at"))), F.lit(0)), F.count_distinct("at")
+        ).alias("of"),
+    )
+    rows = rows.join(of, "item_id").where(F.col("enough") | ~F.col("open"))
+    shared = ["item_id", "at", "length", "slots", "of"]
+    return (
+        rows.where("open")
+        .select(*shared, F.lit(False).alias("exact"), F.col("template").alias("hash"))
+        .unionByName(
+            rows.where((F.size("slots") > 0) | ~F.col("open")).select(
+                *shared, F.lit(True).alias("exact"), F.col("plain").alias("hash")
+            )
+        )
     )
-    return kept.drop("enough").join(of, "item_id")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, mark, item_id, windows, of): documents and the items they hold.
 
     windows of the item's `of` windows are found under consistent slots, at least the
-    share `COVER`. `mark` is the hash of the text, which with doc_id says which rows are
+    share `COVER` or `STRETCH` of them in a row. `mark` is the hash of the text, which with doc_id says which rows are
     meant; equal rows give one row here, and null doc_ids are kept apart by their text.
     Null and empty texts hold nothing. Only doc_id and text are read; empty tables give
     no rows.
@@ -194,61 +237,78 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"),
         words(F.col("text"), starts=True).alias("tokens"),
     )
-    text = (
-        text.withColumn("masks", masks(F.transform("tokens", _unnamed)))
-        .withColumn("as_names", masks(F.transform("tokens", _named)))
-        .withColumn("plain", F.transform("tokens", lambda w: F.xxhash64(_bare(w))))
-    )
     found = []
     for length in lengths or []:
-        rows = text.select(
-            "doc_id",
-            "mark",
-            "tokens",
-            F.inline(_windows(length)).alias("pos", "hash"),
-        )
         own = bench.where(F.col("length") == length).withColumnRenamed("slots", "asked").drop("length")
-        # word by word: a slice would copy all words of the document for each window
-        slots = F.filter(F.array(*[F.get("tokens", F.col("pos") + k) for k in range(length)]), is_slot)
+        rows = _windows(text, length)
         if small:
-            rows = rows.join(F.broadcast(own), "hash").withColumn("filled", slots)
-        else:
-            rows = rows.withColumn("filled", slots).drop("tokens").join(own, "hash")
+            rows = _looked_up(rows, own)
+        rows = rows.select("doc_id", "mark", "pos", "marked", F.explode(F.array_distinct(F.array(*READINGS))).alias("hash"))
+        rows = rows.join(F.broadcast(own) if small else own, "hash")
+        marked = F.array_compact("marked")
         # a window matched with its possible names as slots has as many as were asked
-        sure = F.filter("filled", lambda w: ~_may_be_name(w))
-        filled = F.when(F.col("exact"), F.col("asked"))
+        sure = F.filter(marked, lambda w: ~_may_be_name(w))
+        filled = F.when(F.col("exact") | (F.size("asked") == 0), F.col("asked"))
         filled = filled.when(F.size(sure) == F.size("asked"), sure)
-        rows = rows.withColumn("filled", filled.otherwise(F.transform("filled", _named)))
+        rows = rows.withColumn("filled", filled.otherwise(F.transform(marked, _named)))
         found.append(rows.select("doc_id", "mark", "item_id", "of", "at", "pos", "asked", "filled"))
     if not found:
         return docs.sparkSession.createDataFrame(
             [], "doc_id long, mark long, item_id long, windows long, of long"
         )
-    hits = found[0]
-    for more in found[1:]:
-        hits = hits.union(more)
-    pairs = F.arrays_zip("asked", "filled")
+    hits = reduce(DataFrame.union, found)
     key = ["doc_id", "mark", "item_id", "of"]
     # one alignment of a document and an item holds at most the item's words
     aligned = (
         hits.withColumn("offset", F.col("pos") - F.col("at"))
         .groupBy(*key, "offset")
-        .agg(
-            F.collect_set("at").alias("ats"),
-            F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"),
-        )
+        .agg(F.collect_set(F.struct("at", F.arrays_zip("asked", "filled").alias("pairs"))).alias("held"))
+        .withColumn("said", F.flatten("held.pairs"))
+        .withColumn("pairs", F.array_distinct("said"))
     )
-    consistent = F.size("pairs") == F.size(F.array_distinct(F.col("pairs.asked")))
+    ats = F.array_sort(F.array_distinct(F.col("agreed.at")))
     return (
-        aligned.where(consistent)
-        .select(*key, F.explode("ats").alias("at"))
+        aligned.withColumn("agreed", _agreeing())
+        .select(*key, ats.alias("ats"))
+        .withColumn("stretch", _unbroken(F.col("ats")))
+        .select(*key, "stretch", F.explode("ats").alias("at"))
         .groupBy(*key)
-        .agg(F.count_distinct("at").alias("windows"))
-        .where(F.col("windows") >= F.col("of") * COVER)
+        .agg(F.count_distinct("at").alias("windows"), F.bool_or("stretch").alias("stretch"))
+        .where((F.col("windows") >= F.col("of") * COVER) | F.col("stretch"))
         .select("doc_id", "mark", "item_id", "windows", "of")
     )
 
 
+def _agreeing() -> Column:
+    """The windows of an alignment that fill its slots consistently.
+
+    Each asked value stands for the value that most places of the windows give it, the
+    last in order of those that tie; windows that say otherwise are left out.
+    """
+    counted = F.transform(
+        "pairs",
+        lambda p: F.struct(
+            F.size(F.filter("said", lambda s: s == p)).alias("n"), p["filled"].alias("filled"), p["asked"].alias("asked")
+        ),
+    )
+    chosen = F.transform(
+        F.array_distinct(F.col("pairs.asked")),
+        lambda a: F.array_max(F.filter(counted, lambda c: c["asked"] == a)),
+    )
+    chosen = F.transform(chosen, lambda c: F.struct(c["asked"].alias("asked"), c["filled"].alias("filled")))
+    consistent = F.size("pairs") == F.size(F.array_distinct(F.col("pairs.asked")))
+    return F.when(consistent, F.col("held")).otherwise(
+        F.filter("held", lambda h: F.size(F.array_except(h["pairs"], chosen)) == 0)
+    )
+
+
+def _unbroken(ats: Column) -> Column:
+    """Whether `STRETCH` windows follow each other without a gap."""
+    starts = F.sequence(F.lit(0), F.size(ats) - STRETCH)
+    run = F.exists(starts, lambda i: F.get(ats, i + (STRETCH - 1)) - F.get(ats, i) == STRETCH - 1)
+    return F.when(F.size(ats) >= STRETCH, run).otherwise(False)
+
+
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs` that hold no item of the benchmark, as they are.
 

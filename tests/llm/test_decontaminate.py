@@ -28,6 +28,8 @@ def test_planted(spark, monkeypatch, broadcast):
     monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", broadcast)
     again = QUESTION.replace("12", "47").replace("Tom", "Anna").replace("3.50", "1,200.75").replace("5 km", "9 miles")
     torn = QUESTION.replace("sells 12", "sells 47").replace("called Tom", "called Anna")
+    parts = "there are {} red and {} blue, then {} old and {} new, last {} big and {} odd ones"
+    mixed = parts.format(4, 4, 4, 4, 4, 4), parts.format(1, 2, 3, 4, 5, 6)
     docs = [
         (1, f"{FILLER}. {QUESTION}. {FILLER}."),
         (2, f"{FILLER}. {again}. {FILLER}."),
@@ -44,12 +46,47 @@ def test_planted(spark, monkeypatch, broadcast):
         (11, "word " * 200_000 + PLAIN),
         (12, "1 2 3 4 5 6 7 8 9 10 11 12"),
         (13, "see green tea"),
+        (14, f"{FILLER}. {mixed[1]}"),
+        (15, f"{FILLER}. {mixed[0].replace('4', '9')}"),
     ]
-    items = [(0, QUESTION), (1, PLAIN), (1, PLAIN), (2, None), (3, ""), (4, "1 2 3 4 5 6 7 8"), (5, "Green tea"), (None, "x y z")]
+    items = [(0, QUESTION), (1, PLAIN), (1, PLAIN), (2, None), (3, ""), (4, "1 2 3 4 5 6 7 8"), (5, "Green tea"), (6, mixed[0]), (7, "Red"), (None, "x y z")]
     got = found(spark, docs, items)
-    assert {p for p in got if p[0] != 3} == {(1, 0), (2, 0), (5, 1), (6, 1), (None, 1), (10, 1), (11, 1)}
-    # values that change within one question break the alignment
-    assert (3, 0) not in got
+    # windows that contradict the most frequent value do not count: in 3 a few, in 14 most
+    assert got == {(1, 0), (2, 0), (3, 0), (5, 1), (6, 1), (None, 1), (10, 1), (11, 1), (12, 4), (13, 5), (15, 6)}
+
+
+@pytest.mark.parametrize("before", ["alpha. ", "alpha beta ", "alpha, ", "Alpha ", "12 "])
+def test_whatever_stands_before(spark, before):
+    items = [(0, PLAIN.capitalize()), (1, PLAIN), (2, QUESTION)]
+    docs = [(i, before + t + " and more") for i, t, in items]
+    assert found(spark, docs, items) >= {(0, 0), (1, 1), (2, 2)}
+
+
+def test_long_stretch_of_a_longer_item(spark):
+    many = [f"{a}{b}" for a in "bdfgklmnprst" for b in ("at", "en", "il", "om", "ur", "ay", "ep", "ix", "od", "uz")]
+    item = " ".join(many + [w[::-1] for w in many])
+    docs = [(1, " ".join(many[10:64])), (2, " ".join(many[10:63])), (3, " ".join(many[10:40] + ["x"] + many[41:70]))]
+    assert found(spark, docs, [(0, item)]) == {(1, 0)}
+
+
+def plain_windows(text):
+    words = "".join(c if c.isalnum() else " " for c in text.lower()).split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_query_against_brute_force(spark, sf):
+    """On the given tables, leaks are the pairs that share half of an item's windows."""
+    from headcount.llm.queries import op1_decontamination
+
+    folder = f"/root/testdata/{sf}"
+    items = {r.item_id: plain_windows(r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()}
+    want = set()
+    for r in spark.read.parquet(f"{folder}/documents.parquet").collect():
+        own = plain_windows(r.text or "")
+        want |= {(r.doc_id, i) for i, w in items.items() if 2 * len(w & own) >= len(w)}
+    got = {(r.doc_id, r.item_id) for r in op1_decontamination(spark, folder).collect()}
+    assert len(want) > 2 and got == want
 
 
 def plain_words(spark, text):
