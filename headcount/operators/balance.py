@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from headcount.functions.ordering import hash_order, running_sum, smallest_by_hash
-from headcount.operators.neighbours import nearest_vectors
+from headcount.operators.neighbours import METHODS
 from headcount.session import cut_lineage
 
 # Majority share in percent from which each scenario holds, its
@@ -123,7 +123,12 @@ def _hash_share(seed: int) -> Column:
 
 
 def synthetic_rows(
-    minority: DataFrame, features: list[str], wanted: int, k: int = SMOTE_NEIGHBOURS, seed: int = 42
+    minority: DataFrame,
+    features: list[str],
+    wanted: int,
+    k: int = SMOTE_NEIGHBOURS,
+    seed: int = 42,
+    method: str = "exact",
 ) -> DataFrame:
     """`wanted` rows between minority rows and one of their `k` nearest minority rows.
 
@@ -133,7 +138,7 @@ def synthetic_rows(
     vectors = cut_lineage(
         minority.groupBy(_vector(features).alias("vec")).agg(F.array(F.count(F.lit(1))).alias("sizes"))
     )
-    near = nearest_vectors(vectors, k, seed)
+    near = METHODS[method](vectors, k, seed)
     shared = running_sum(
         vectors.select("vec", F.col("sizes")[0].alias("_n")), [], ["vec"], "_n"
     )
@@ -160,8 +165,13 @@ def smote(
     features: list[str],
     k: int = SMOTE_NEIGHBOURS,
     seed: int = 42,
+    method: str = "exact",
 ) -> DataFrame:
-    """Features, target and `synthetic`: each class filled up to the largest one's size."""
+    """Features, target and `synthetic`: each class filled up to the largest one's size.
+
+    `method` is `exact` or `hashed`, which finds most of the neighbours at a cost that
+    does not grow with the number of features (see `neighbours`).
+    """
     counts = df.where(F.col(target).isNotNull()).groupBy(target).agg(F.count(F.lit(1)).alias("n"))
     # The classes and their sizes, a row each, decide how many to make.
     sizes = {r[target]: r["n"] for r in counts.limit(MAX_CLASSES + 1).collect()}
@@ -175,7 +185,7 @@ def smote(
         if sizes[label] <= k:
             raise ValueError(f"the class {label} has {sizes[label]} rows; more than {k} are needed")
         rows = own.where(F.col(target) == label)
-        made = synthetic_rows(rows, features, most - sizes[label], k, seed)
+        made = synthetic_rows(rows, features, most - sizes[label], k, seed, method)
         named = F.lit(label).cast(df.schema[target].dataType).alias(target)
         result = result.unionByName(made.select(*features, named, F.lit(True).alias("synthetic")))
     return result
@@ -186,7 +196,12 @@ def _equal_to(label: int):
 
 
 def edited_nearest(
-    df: DataFrame, target: str, features: list[str], k: int = ENN_NEIGHBOURS, seed: int = 42
+    df: DataFrame,
+    target: str,
+    features: list[str],
+    k: int = ENN_NEIGHBOURS,
+    seed: int = 42,
+    method: str = "exact",
 ) -> DataFrame:
     """Drop each row whose `k` nearest other rows are not all of its class (0 or 1).
 
@@ -204,7 +219,7 @@ def edited_nearest(
             "sizes", F.array(F.col("n00") + F.col("n01"), F.col("n10") + F.col("n11"))
         )
     )
-    near = nearest_vectors(sized.select("vec", "sizes"), k, seed)
+    near = METHODS[method](sized.select("vec", "sizes"), k, seed)
 
     def classes(sizes: Column) -> Column:
         parts = [
@@ -234,20 +249,21 @@ def edited_nearest(
 
 
 def smote_enn(
-    df: DataFrame, target: str, features: list[str], seed: int = 42
+    df: DataFrame, target: str, features: list[str], seed: int = 42, method: str = "exact"
 ) -> DataFrame:
     """`smote`, then `edited_nearest` over all rows."""
-    return edited_nearest(smote(df, target, features, seed=seed), target, features, seed=seed)
+    filled = smote(df, target, features, seed=seed, method=method)
+    return edited_nearest(filled, target, features, seed=seed, method=method)
 
 
 def balance(
-    df: DataFrame, target: str, features: list[str], key: str, seed: int = 42
+    df: DataFrame, target: str, features: list[str], key: str, seed: int = 42, method: str = "exact"
 ) -> tuple[str, DataFrame]:
     """Apply the strategy that the class shares call for; one row decides."""
     strategy = class_balance(df, target).first()["strategy"]
     if strategy == "smote_enn":
-        return strategy, smote_enn(df, target, features, seed).drop("synthetic")
+        return strategy, smote_enn(df, target, features, seed, method).drop("synthetic")
     if strategy == "smote":
-        return strategy, smote(df, target, features, seed=seed).drop("synthetic")
+        return strategy, smote(df, target, features, seed=seed, method=method).drop("synthetic")
     chosen = df if strategy == "none" else random_undersample(df, target, key, seed)
     return strategy, chosen.select(*features, target)

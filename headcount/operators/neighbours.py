@@ -1,119 +1,44 @@
-"""Exact nearest neighbours between the distinct vectors of a table.
-
-Space is split into cells of about equal numbers of vectors, the splits taken
-from a hash sample. A vector first finds neighbours in its own cell, which
-bounds how far the true ones can be; then it visits just the cells that its
-ball reaches. No pair outside those cells is looked at, and none is left out.
+"""Nearest neighbours between the distinct vectors of a table, exact or by hashed buckets.
+
+Exact: space is split into cells of about equal numbers of vectors (`space`). A vector
+first finds neighbours in its own cell, which bounds how far the true ones can be; then
+it visits the cells that its ball reaches, the nearest first, in rounds with a reach that
+shrinks as neighbours are found. No pair outside those cells is looked at, and none is
+left out.
+
+Hashed: several tables of buckets, cut along random directions, each give a vector the
+best of its bucket; the best of all tables are kept. A vector that meets too few others in
+its buckets widens its reach by the exact search. The work is rows times buckets' size
+times tables, whatever the number of features.
 """
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from headcount.operators import space
+from headcount.operators.space import matrix
 from headcount.session import cut_lineage
 
-# Vectors per cell, and vectors sampled per cell to place the splits.
+# Vectors per cell, and per bucket of a hashed table.
 CELL_ROWS = 2000
-SAMPLED = 16
-# Visits to one cell that one task handles.
-VISITS = 20_000
-# The splits and their sample are held by the driver and sent to each task. Beyond
-# this many cells it is the cells that grow with the table, not the splits.
-MAX_CELLS = 20_000
+BUCKET_ROWS = 2000
+# Hashed tables.
+TABLES = 16
+# Shares of the reach, as distances, that the rounds of visits go to.
+ROUNDS = (0.5, 0.75, 1.0)
+# Cells that a vector without enough neighbours yet visits, by the first round; eight
+# times as many in each later one.
+FIRST_CELLS = 8
 # Distances that a task holds at a time.
 BATCH_DISTANCES = 512_000
 
-# Tasks per shuffle partition.
-TASKS = 4
-
 _ENTRY = "struct<square: double, vec: array<double>, sizes: array<bigint>>"
-
-
-@dataclass
-class Splits:
-    """A binary tree over space: `child` below zero is the cell `-child - 1`."""
-
-    dim: np.ndarray
-    at: np.ndarray
-    low: np.ndarray
-    high: np.ndarray
-
-    def cell(self, points: np.ndarray) -> np.ndarray:
-        found = np.full(len(points), 0 if len(self.dim) else -1)
-        while (open_ := found >= 0).any():
-            node = found[open_]
-            left = points[open_, self.dim[node]] <= self.at[node]
-            found[open_] = np.where(left, self.low[node], self.high[node])
-        return -found - 1
-
-    def reached(self, points: np.ndarray, squares: np.ndarray) -> list[list[int]]:
-        """The cells that a ball around each point touches; `squares` are squared radii."""
-        cells: list[list[int]] = [[] for _ in points]
-        # With each node go the points that reach it and their gaps to it per side.
-        waiting = [(0 if len(self.dim) else -1, np.arange(len(points)), np.zeros(points.shape))]
-        while waiting:
-            node, who, gaps = waiting.pop()
-            if node < 0:
-                for i in who:
-                    cells[i].append(-int(node) - 1)
-                continue
-            dim, beyond = self.dim[node], points[who, self.dim[node]] - self.at[node]
-            for child, outside in ((self.low[node], beyond > 0), (self.high[node], beyond <= 0)):
-                moved = gaps.copy()
-                moved[outside, dim] = np.maximum(moved[outside, dim], np.abs(beyond[outside]))
-                touched = (moved * moved).sum(axis=1) <= squares[who]
-                if touched.any():
-                    waiting.append((child, who[touched], moved[touched]))
-        return cells
-
-
-def _split(sample: np.ndarray, cells: int) -> Splits:
-    """Halve the sample along its widest side until there are enough cells."""
-    nodes: list[list] = []
-    made = 0
-
-    def grow(points: np.ndarray, wanted: int) -> int:
-        nonlocal made
-        spread = points.max(axis=0) - points.min(axis=0) if len(points) else np.zeros(1)
-        if wanted <= 1 or len(points) < 2 or spread.max() <= 0:
-            made += 1
-            return -made
-        dim = int(spread.argmax())
-        values = np.sort(points[:, dim])
-        middle = values[(len(values) - 1) // 2]
-        # A cut at the top value would leave one side empty.
-        at = middle if middle < values[-1] else values[values < values[-1]][-1]
-        below = points[:, dim] <= at
-        here = len(nodes)
-        nodes.append([dim, at, 0, 0])
-        half = max(1, min(wanted - 1, round(wanted * below.mean())))
-        nodes[here][2] = grow(points[below], half)
-        nodes[here][3] = grow(points[~below], wanted - half)
-        return here
-
-    grow(sample, cells)
-    table = np.array(nodes, dtype=float).reshape(-1, 4)
-    return Splits(
-        table[:, 0].astype(int), table[:, 1], table[:, 2].astype(int), table[:, 3].astype(int)
-    )
-
-
-def _sample(vectors: DataFrame, rows: int, wanted: int, seed: int) -> np.ndarray:
-    """About `wanted` vectors whose hash is lowest; `MAX_CELLS` bounds them."""
-    share = (F.xxhash64("vec", F.lit(seed)).cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
-    found = vectors.where(share <= wanted / rows).select("vec").orderBy("vec").collect()
-    return np.array([r["vec"] for r in found], dtype=float)
-
-
-def _matrix(vecs: pd.Series) -> np.ndarray:
-    return np.array(vecs.tolist(), dtype=float)
+_NEAR = "array<struct<square: double, id: bigint>>"
 
 
 def _closest(queries: np.ndarray, points: np.ndarray, k: int, reach: np.ndarray | None = None):
@@ -155,108 +80,208 @@ def _closest(queries: np.ndarray, points: np.ndarray, k: int, reach: np.ndarray
     return tuple(np.concatenate(part) for part in zip(*found))
 
 
-def _in_vector_order(frame: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
-    points = _matrix(frame["vec"])
-    order = np.lexsort(points.T[::-1])
-    return frame.iloc[order].reset_index(drop=True), points[order]
+def _in_order(frame: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+    frame = frame.sort_values("id", kind="stable").reset_index(drop=True)
+    return frame, matrix(frame["vec"])
 
 
-def nearest_vectors(vectors: DataFrame, k: int, seed: int = 42) -> DataFrame:
-    """`vec` and `neighbours`: its `k` nearest other vectors, nearest first.
+def _at_home(k: int):
+    """The neighbours of each vector of a cell within it, and the reach that follows.
 
-    `vectors` has distinct `vec` (array of double) and `sizes` (array of bigint,
-    passed along); it is read several times, so it should be a stored table.
+    The reach is the square of the last neighbour's distance, if there are `k`, and a
+    little more, so that rounding hides no tie.
     """
-    rows = vectors.count()
-    cells = min(MAX_CELLS, max(1, math.ceil(rows / CELL_ROWS)))
-    splits = _split(_sample(vectors, rows, cells * SAMPLED, seed) if cells > 1 else np.empty((0, 1)), cells)
 
-    @F.pandas_udf("int")
-    def cell_of(vecs: pd.Series) -> pd.Series:
-        return pd.Series(splits.cell(_matrix(vecs)) if len(vecs) else [], dtype="int32")
-
-    def at_home(frame: pd.DataFrame) -> pd.DataFrame:
-        frame, points = _in_vector_order(frame)
+    def meet(frame: pd.DataFrame) -> pd.DataFrame:
+        frame, points = _in_order(frame)
         who, which, squares = _closest(points, points, k)
         count = np.bincount(who, minlength=len(points))
-        # The last neighbour's distance bounds the search, if there are `k` of them.
-        # A little more than it, so that rounding hides no tie.
-        reach = np.full(len(points), np.inf)
-        last = np.cumsum(count) - 1
-        reach[count == k] = squares[last[count == k]] * (1 + 1e-9)
-        home = int(frame["cell"].iat[0])
-        visits = [[c for c in cells if c != home] for cells in splits.reached(points, reach)]
         ends = np.cumsum(count)
-        vecs, sizes = frame["vec"].tolist(), frame["sizes"].tolist()
-        entries = [
-            {"square": s, "vec": vecs[i], "sizes": sizes[i]} for s, i in zip(squares.tolist(), which)
-        ]
-        near = [entries[end - n : end] for end, n in zip(ends, count)]
-        return pd.DataFrame({"vec": frame["vec"], "near": near, "reach": reach, "visits": visits})
-
-    # The rows are few and the work on them is long: fixed task numbers keep
-    # Spark from merging cells by their size in bytes.
-    tasks = TASKS * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    celled = vectors.withColumn("cell", cell_of("vec"))
-    at_home_rows = celled.repartition(tasks, "cell").groupBy("cell").applyInPandas(
-        at_home, f"vec array<double>, near array<{_ENTRY}>, reach double, visits array<int>"
-    )
+        reach = np.full(len(points), np.inf)
+        reach[count == k] = squares[ends[count == k] - 1] * (1 + 1e-9)
+        ids = frame["id"].to_numpy()
+        entries = [{"square": s, "id": i} for s, i in zip(squares.tolist(), ids[which].tolist(), strict=True)]
+        near = [entries[end - n : end] for end, n in zip(ends, count, strict=True)]
+        return frame.drop(columns="sizes", errors="ignore").assign(near=near, reach=reach)
+
+    return meet
+
 
-    def abroad(visitors: pd.DataFrame, hosts: pd.DataFrame) -> pd.DataFrame:
+def _home(cells: space.Cells, k: int) -> DataFrame:
+    """(id, vec, cell, near, reach) of all vectors."""
+    tasks = 4 * int(cells.table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    schema = f"id long, vec array<double>, cell string, near {_NEAR}, reach double"
+    return cells.table.repartition(tasks, "cell").groupBy("cell").applyInPandas(_at_home(k), schema)
+
+
+def _abroad(k: int):
+    def meet(visitors: pd.DataFrame, hosts: pd.DataFrame) -> pd.DataFrame:
         if not len(visitors) or not len(hosts):
-            return pd.DataFrame({"vec": [], "square": [], "near": [], "sizes": []})
-        hosts, points = _in_vector_order(hosts)
+            return pd.DataFrame({"id": [], "square": [], "other": []})
+        hosts, points = _in_order(hosts)
         who, which, squares = _closest(
-            _matrix(visitors["vec"]), points, k, visitors["reach"].to_numpy()
-        )
-        return pd.DataFrame(
-            {
-                "vec": visitors["vec"].to_numpy()[who],
-                "square": squares,
-                "near": hosts["vec"].to_numpy()[which],
-                "sizes": hosts["sizes"].to_numpy()[which],
-            }
+            matrix(visitors["vec"]), points, k + 1, visitors["reach"].to_numpy()
         )
+        own, other = visitors["id"].to_numpy()[who], hosts["id"].to_numpy()[which]
+        kept = own != other
+        return pd.DataFrame({"id": own[kept], "square": squares[kept], "other": other[kept]})
 
-    if cells == 1:
-        return at_home_rows.select("vec", F.col("near").alias("neighbours"))
-    at_home_rows = cut_lineage(at_home_rows)
-    visitors = at_home_rows.select("vec", "reach", F.explode("visits").alias("cell"))
-    # A cell that many reach is copied, and its visitors shared out.
-    desks = visitors.groupBy("cell").agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(VISITS)).cast("int").alias("desks")
-    )
-    seated = visitors.join(desks, "cell").withColumn(
-        "desk", F.pmod(F.xxhash64("vec"), F.col("desks")).cast("int")
-    )
-    hosts = celled.join(desks, "cell").withColumn(
-        "desk", F.explode(F.sequence(F.lit(0), F.col("desks") - 1))
+    return meet
+
+
+def _best(entries: DataFrame, k: int) -> DataFrame:
+    """(id, near): the `k` nearest of (id, square, other), ranked before they are gathered."""
+    place = F.row_number().over(W.partitionBy("id").orderBy("square", "other"))
+    return (
+        entries.withColumn("_place", place)
+        .where(F.col("_place") <= k)
+        .groupBy("id")
+        .agg(F.array_sort(F.collect_list(F.struct("square", F.col("other").alias("id")))).alias("near"))
     )
-    met = (
-        seated.select("vec", "reach", "cell", "desk")
-        .repartition(tasks, "cell", "desk")
-        .groupBy("cell", "desk")
-        .cogroup(
-            hosts.select("vec", "sizes", "cell", "desk")
-            .repartition(tasks, "cell", "desk")
-            .groupBy("cell", "desk")
+
+
+def _entries(near: DataFrame) -> DataFrame:
+    return near.select("id", F.explode("near").alias("e")).select("id", "e.square", F.col("e.id").alias("other"))
+
+
+def _search(state: DataFrame, cells: space.Cells, width: int, k: int) -> DataFrame:
+    """(id, near): the exact neighbours, from (id, vec, cell, near, reach) after home.
+
+    `seen` is how far a vector has looked. It is done when that is its reach, or when
+    there are no more cells; rounds end when all are.
+    """
+    top = cells.top
+
+    def nearest_cells(count: int):
+        @F.pandas_udf("double")
+        def limit(vecs: pd.Series, seen: pd.Series) -> pd.Series:
+            found = np.full(len(vecs), np.inf)
+            if len(vecs):
+                points = matrix(vecs)
+                who, _, gaps = top.reached(points, found)
+                for i in range(len(points)):
+                    beyond = np.sort(gaps[(who == i) & (gaps > seen.iat[i])])
+                    if len(beyond) > count:
+                        found[i] = beyond[count - 1]
+            return pd.Series(found)
+
+        return limit
+
+    done, turn = [], 0
+    infinite = F.lit(float("inf"))
+    state = state.withColumn("seen", F.lit(-1.0))
+    none = F.array().cast(_NEAR)
+    while True:
+        state = cut_lineage(state)
+        finished = F.col("seen") >= F.col("reach")
+        done.append(state.where(finished).select("id", "near"))
+        active = state.where(~finished)
+        if active.isEmpty():
+            break
+        share = ROUNDS[min(turn, len(ROUNDS) - 1)] ** 2
+        known = active.where(F.col("reach") < infinite).withColumn(
+            "limit", F.greatest(F.col("reach") * share, F.col("seen"))
         )
-        .applyInPandas(
-            abroad, "vec array<double>, square double, near array<double>, sizes array<bigint>"
+        lost = active.where(F.col("reach") == infinite)
+        lost = lost.withColumn("limit", nearest_cells(FIRST_CELLS ** (turn + 1))("vec", "seen"))
+        active = cut_lineage(known.unionByName(lost))
+        away = space.visits(active, cells, width).withColumnRenamed("cell", "to")
+        away = away.join(active.select("id", "cell", "reach"), "id").where(F.col("to") != F.col("cell"))
+        away = cut_lineage(away.select("id", "vec", "reach", F.col("to").alias("cell")))
+        met = space.seated(away, cells.table, _abroad(k), "id long, square double, other long")
+        best = _best(_entries(active).union(met), k)
+        last = F.col("near")[k - 1]["square"] * F.lit(1 + 1e-9)
+        state = (
+            active.drop("near")
+            .join(best, "id", "left")
+            .withColumn("near", F.coalesce("near", none))
+            .select(
+                "id",
+                "vec",
+                "cell",
+                "near",
+                F.when(F.size("near") >= k, last).otherwise(infinite).alias("reach"),
+                F.col("limit").alias("seen"),
+            )
         )
-    )
-    # Each cell gives at most k entries; the best k are found before they are gathered.
-    entry = F.struct("square", F.col("near").alias("vec"), "sizes")
-    place = F.row_number().over(W.partitionBy("vec").orderBy("entry.square", "entry.vec"))
-    best = (
-        at_home_rows.select("vec", F.explode("near").alias("entry"))
-        .unionByName(met.select("vec", entry.alias("entry")))
-        .withColumn("_place", place)
-        .where(F.col("_place") <= k)
-        .groupBy("vec")
-        .agg(F.array_sort(F.collect_list("entry")).alias("neighbours"))
+        turn += 1
+    found = done[0]
+    for more in done[1:]:
+        found = found.union(more)
+    return found
+
+
+def _numbered(vectors: DataFrame) -> DataFrame:
+    """`vectors` with ids that rise in vector order, so ties by id are ties by vector."""
+    return cut_lineage(vectors.orderBy("vec").withColumn("id", F.monotonically_increasing_id()))
+
+
+def _named(numbered: DataFrame, found: DataFrame) -> DataFrame:
+    """(vec, neighbours) from (id, near)."""
+    others = numbered.select(F.col("id").alias("other"), F.col("vec").alias("near"), "sizes")
+    near = (
+        _entries(found)
+        .join(others, "other")
+        .groupBy("id")
+        .agg(F.array_sort(F.collect_list(F.struct("square", F.col("near").alias("vec"), "sizes"))).alias("neighbours"))
     )
     none = F.array().cast(f"array<{_ENTRY}>")
-    return vectors.select("vec").join(best, "vec", "left").select(
-        "vec", F.coalesce("neighbours", none).alias("neighbours")
-    )
+    return numbered.join(near, "id", "left").select("vec", F.coalesce("neighbours", none).alias("neighbours"))
+
+
+def _width(vectors: DataFrame) -> int:
+    first = vectors.select(F.size("vec").alias("n")).first()
+    return first["n"] if first else 1
+
+
+def nearest_vectors(vectors: DataFrame, k: int, seed: int = 42) -> DataFrame:
+    """`vec` and `neighbours`: its `k` nearest other vectors, nearest first.
+
+    `vectors` has distinct `vec` (array of double) and `sizes` (array of bigint,
+    passed along). Equal distances come in vector order.
+    """
+    numbered = _numbered(vectors)
+    return _named(numbered, _exact(numbered, k, seed))
+
+
+def _exact(numbered: DataFrame, k: int, seed: int, asking: DataFrame | None = None) -> DataFrame:
+    """(id, near) of all vectors, or of the ids in `asking`, which start without a home."""
+    width = _width(numbered)
+    cells = space.cells_of(numbered.select("id", "vec"), width, CELL_ROWS, seed)
+    if asking is None:
+        home = _home(cells, k)
+        if not len(cells.top.at) and not cells.trees:
+            return home.select("id", "near")
+    else:
+        home = numbered.join(asking, "id", "left_semi").select(
+            "id", "vec", F.lit("").alias("cell"), F.array().cast(_NEAR).alias("near"), F.lit(float("inf")).alias("reach")
+        )
+    return _search(home, cells, width, k)
+
+
+def hashed_vectors(vectors: DataFrame, k: int, seed: int = 42, tables: int | None = None) -> DataFrame:
+    """As `nearest_vectors`, with the best neighbours that buckets of like vectors hold.
+
+    Each of the `tables` tables (`TABLES` by default) cuts space along other random
+    directions into buckets of about `BUCKET_ROWS`. What a vector is given are true
+    distances; some of the `k` may not be the nearest, but there are never fewer.
+    """
+    numbered = _numbered(vectors)
+    width = _width(numbered)
+    found = None
+    for table in range(tables or TABLES):
+        cells = space.cells_of(numbered.select("id", "vec"), width, BUCKET_ROWS, seed + 1000 * (table + 1), slanted=True)
+        near = _entries(_home(cells, k))
+        if not len(cells.top.at):
+            return _named(numbered, cut_lineage(_best(near, k)))  # one bucket holds all
+        found = near if found is None else found.union(near)
+    best = cut_lineage(_best(found.distinct(), k))
+    met = best.where(F.size("near") >= k)
+    few = cut_lineage(numbered.select("id").join(met, "id", "left_anti"))
+    if not few.isEmpty():
+        best = met.unionByName(_exact(numbered, k, seed, few))
+    return _named(numbered, best)
+
+
+#: Ways to find neighbours.
+METHODS = {"exact": nearest_vectors, "hashed": hashed_vectors}

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from headcount.operators import balance, features, neighbours
+from headcount.operators import balance, features, neighbours, space
 from headcount.operators.columns import align_columns
 
 
@@ -111,10 +111,11 @@ def _brute(points, k):
     return near
 
 
-@pytest.mark.parametrize("cell_rows", [50, 100_000])
-def test_neighbours_equal_brute_force(spark, monkeypatch, cell_rows):
+@pytest.mark.parametrize("cell_rows,fan_out", [(50, 1024), (100_000, 1024), (4, 8), (20, 4)])
+def test_neighbours_equal_brute_force(spark, monkeypatch, cell_rows, fan_out):
     monkeypatch.setattr(neighbours, "CELL_ROWS", cell_rows)
-    monkeypatch.setattr(neighbours, "VISITS", 30)
+    monkeypatch.setattr(space, "FAN_OUT", fan_out)
+    monkeypatch.setattr(space, "DESK_ROWS", 30)
     rng = np.random.default_rng(11)
     cluster = rng.random((250, 3)) * 0.01
     points = np.unique(np.vstack([np.round(rng.random((300, 3)), 1), cluster]), axis=0)
@@ -124,6 +125,43 @@ def test_neighbours_equal_brute_force(spark, monkeypatch, cell_rows):
     assert len(found) == len(points) and got == _brute(points, 5)
 
 
+def test_cells_grow_level_by_level(spark, monkeypatch):
+    monkeypatch.setattr(space, "FAN_OUT", 4)
+    points = np.random.default_rng(4).standard_normal((900, 3))
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, vec array<double>")
+    cells = space.cells_of(df, 3, 10, seed=1)
+    sizes = cells.table.groupBy("cell").count().toPandas()["count"]
+    assert len(cells.trees) >= 2 and sizes.max() <= 20 and sizes.sum() == 900
+
+
+@pytest.mark.parametrize("bucket", [40, 4])
+def test_hashed_neighbours_find_most(spark, monkeypatch, bucket):
+    monkeypatch.setattr(neighbours, "BUCKET_ROWS", bucket)
+    monkeypatch.setattr(neighbours, "CELL_ROWS", 60)
+    monkeypatch.setattr(neighbours, "TABLES", 12 if bucket == 40 else 1)
+    rng = np.random.default_rng(12)
+    points = rng.standard_normal((500, 3)) @ rng.standard_normal((3, 9)) + rng.standard_normal((500, 9)) * 0.1
+    df = spark.createDataFrame([(p.tolist(), [1]) for p in points], "vec array<double>, sizes array<bigint>")
+    found = neighbours.hashed_vectors(df, 5).collect()
+    true = _brute(points, 5)
+    got = {tuple(r["vec"]): [tuple(n["vec"]) for n in r["neighbours"]] for r in found}
+    assert len(got) == 500 and all(len(set(n)) == 5 for n in got.values())
+    hits = sum(len(set(got[p]) & set(true[p])) for p in true)
+    assert hits >= (0.9 * 2500 if bucket == 40 else 1)
+    # rows that met too few in their buckets got the exact ones
+    for r in found:
+        squares = [n["square"] for n in r["neighbours"]]
+        assert squares == sorted(squares) and squares[0] > 0
+
+
+def test_hashed_method_evens_the_classes(spark):
+    frame = _points(1)
+    got = balance.smote(spark.createDataFrame(frame), "label", ["p", "q", "r"], method="hashed").toPandas()
+    assert (got["label"] == 0).sum() == (got["label"] == 1).sum()
+    kept = balance.smote_enn(spark.createDataFrame(frame), "label", ["p", "q", "r"], method="hashed").toPandas()
+    assert 0 < len(kept) <= len(got)
+
+
 def test_fewer_points_than_neighbours(spark):
     df = spark.createDataFrame([([0.0], [1]), ([1.0], [1])], "vec array<double>, sizes array<bigint>")
     got = {r["vec"][0]: [n["vec"][0] for n in r["neighbours"]] for r in neighbours.nearest_vectors(df, 5).collect()}
