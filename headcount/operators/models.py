@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import random
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Model
-from pyspark.ml.classification import (
-    DecisionTreeClassifier,
-    GBTClassifier,
-    LogisticRegression,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -21,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from headcount.functions.ordering import running_sum
+from headcount.operators import trees
 from headcount.operators.features import FeaturePlan
 from headcount.operators.scoring import evaluate, rank_models
 from headcount.session import cut_lineage
@@ -29,7 +26,14 @@ from headcount.session import cut_lineage
 MODELS = ("Logistic Regression", "Decision Tree", "Random Forest", "xgboost", "LightGBM")
 DEFAULTS: dict[str, dict] = {
     "Logistic Regression": {"C": 1.0, "max_iter": 1000, "l1_ratio": 0.0},
-    "Decision Tree": {"criterion": "gini", "max_depth": 30, "min_samples_leaf": 1},
+    "Decision Tree": {
+        "criterion": "gini",
+        "splitter": "best",
+        "max_depth": 30,
+        "min_samples_split": 2,
+        "min_samples_leaf": 1,
+        "max_features": None,
+    },
     "Random Forest": {"n_estimators": 100, "max_depth": 30, "min_samples_leaf": 1},
     "xgboost": {
         "n_estimators": 100,
@@ -42,6 +46,7 @@ DEFAULTS: dict[str, dict] = {
         "n_estimators": 100,
         "max_depth": 5,
         "learning_rate": 0.1,
+        "num_leaves": 31,
         "subsample": 1.0,
         "colsample": 1.0,
     },
@@ -51,8 +56,11 @@ SPACES: dict[str, dict] = {
     "Logistic Regression": {"C": (0.01, 10.0), "max_iter": (100, 1000), "penalty": ["l1", "l2", "elasticnet"]},
     "Decision Tree": {
         "criterion": ["gini", "entropy", "log_loss"],
+        "splitter": ["best", "random"],
         "max_depth": (2, 20),
+        "min_samples_split": (2, 10),
         "min_samples_leaf": (1, 5),
+        "max_features": [None, "sqrt", "log2"],
     },
     "Random Forest": {"n_estimators": (50, 300), "max_depth": (2, 20), "min_samples_leaf": (1, 5)},
     "xgboost": {
@@ -62,10 +70,17 @@ SPACES: dict[str, dict] = {
         "subsample": (0.5, 1.0),
         "colsample": (0.5, 1.0),
     },
-    "LightGBM": {"n_estimators": (50, 300), "max_depth": (2, 12), "learning_rate": (0.01, 0.3)},
+    "LightGBM": {
+        "n_estimators": (50, 300),
+        "max_depth": (2, 12),
+        "learning_rate": (0.01, 0.3),
+        "num_leaves": (20, 100),
+    },
 }
 FOLDS = 3
 TRIALS = 30
+#: Models whose trees are grown on binned counts, many at a time.
+GROWN = ("Decision Tree", "xgboost", "LightGBM")
 _VECTOR, _LABEL = "features_vector", "label"
 
 
@@ -91,14 +106,8 @@ def estimator(name: str, params: dict, rows: int, seed: int = 42):
             standardization=False,
             **common,
         )
-    if name == "Decision Tree":
-        return DecisionTreeClassifier(
-            impurity="gini" if p["criterion"] == "gini" else "entropy",
-            maxDepth=int(p["max_depth"]),
-            minInstancesPerNode=int(p["min_samples_leaf"]),
-            seed=seed,
-            **common,
-        )
+    if name in GROWN:
+        return GrownTrees(name, p, seed)
     if name == "Random Forest":
         return RandomForestClassifier(
             numTrees=int(p["n_estimators"]),
@@ -108,15 +117,71 @@ def estimator(name: str, params: dict, rows: int, seed: int = 42):
             seed=seed,
             **common,
         )
-    return GBTClassifier(
-        maxIter=int(p["n_estimators"]),
-        maxDepth=int(p["max_depth"]),
-        stepSize=float(p["learning_rate"]),
-        subsamplingRate=float(p["subsample"]),
-        featureSubsetStrategy=str(float(p["colsample"])),
-        seed=seed,
-        **common,
-    )
+
+
+def growth(name: str, p: dict, width: int, seed: int = 42) -> trees.Growth:
+    """How the trees of a model grow on `width` features.
+
+    One boosted model grows level by level, with a penalty on leaf values and a least
+    curvature; the other the best leaf first, from the log odds, with a least number of
+    rows in a leaf and no penalty.
+    """
+    if name == "Decision Tree":
+        count = {None: width, "sqrt": int(width**0.5), "log2": int(math.log2(width))}[p["max_features"]]
+        return trees.Growth(
+            "gini" if p["criterion"] == "gini" else "entropy",
+            int(p["max_depth"]),
+            p["min_samples_split"],
+            p["min_samples_leaf"],
+            None if count == width else (max(1, count) + 0.5) / width,
+            p["splitter"] == "random",
+            seed=seed,
+        )
+    own = {"min_weight": 1.0} if name == "xgboost" else {"leaves": int(p["num_leaves"]), "l2": 0.0, "min_leaf": 20, "min_weight": 1e-3}
+    return trees.Growth("newton", int(p["max_depth"]), seed=seed, **own)
+
+
+def grown(
+    table: DataFrame, cuts: list, name: str, tasks: dict[int, tuple[dict, int]], seed: int = 42
+) -> dict[int, trees.GrownModel]:
+    """A model for each (parameters, fold held out) of `tasks`, all grown in the same scans."""
+    width = len(cuts)
+    full = {i: (DEFAULTS[name] | params, fold) for i, (params, fold) in tasks.items()}
+    growths = {i: growth(name, p, width, seed) for i, (p, _) in full.items()}
+    if name == "Decision Tree":
+        samples = {i: trees.Sample(fold) for i, (_, fold) in full.items()}
+        made = trees.classify(table, growths, samples, width, trees.MAX_BINS)
+        return {i: trees.GrownModel(cuts, [tree]) for i, tree in made.items()}
+    boosts = {
+        i: trees.Boost(
+            int(p["n_estimators"]),
+            float(p["learning_rate"]),
+            growths[i],
+            trees.Sample(fold, float(p["subsample"]), float(p["colsample"])),
+            name == "LightGBM",
+        )
+        for i, (p, fold) in full.items()
+    }
+    made = trees.boost(table, boosts, width, trees.MAX_BINS)
+    return {i: trees.GrownModel(cuts, own, start, boosts[i].rate) for i, (start, own) in made.items()}
+
+
+class GrownTrees:
+    """Fits one of the grown models to a column of vectors, as Spark's estimators do."""
+
+    def __init__(self, name: str, params: dict, seed: int = 42):
+        self.name, self.params, self.seed = name, params, seed
+
+    def getImpurity(self) -> str:  # noqa: N802 - as Spark's trees name it
+        return growth(self.name, self.params, 1, self.seed).criterion
+
+    def fit(self, ready: DataFrame) -> trees.GrownModel:
+        first = ready.select(F.size(vector_to_array(_VECTOR)).alias("n")).first()
+        names = [f"f{i}" for i in range(first["n"] if first else 0)]
+        rows = ready.select(*[vector_to_array(_VECTOR)[i].alias(c) for i, c in enumerate(names)], _LABEL)
+        cuts = trees.cuts_of(rows, names)
+        table = trees.binned(rows, names, _LABEL, cuts)
+        return grown(table, cuts, self.name, {0: (self.params, -1)}, self.seed)[0]
 
 
 def train(
@@ -239,6 +304,8 @@ def cross_validate(
     `parallelism` fits run at a time, each on the stored folds.
     """
     dealt = cut_lineage(folds(df, label, features, seed=seed))
+    if name in GROWN:
+        return _cross_validate_grown(dealt, len(features), name, sets, seed)
     ready = dealt.select(
         array_to_vector("vec").alias(_VECTOR), F.col("label").alias(_LABEL), "fold"
     ).persist(StorageLevel.MEMORY_AND_DISK)
@@ -265,6 +332,30 @@ def cross_validate(
     return [sum(scores[i : i + FOLDS]) / FOLDS for i in range(0, len(scores), FOLDS)]
 
 
+def _cross_validate_grown(dealt: DataFrame, width: int, name: str, sets: list[dict], seed: int) -> list[float]:
+    """All trials and folds at once: the scans do not depend on how many there are."""
+    names = [f"f{i}" for i in range(width)]
+    rows = dealt.select(*[F.col("vec")[i].alias(c) for i, c in enumerate(names)], "label", "fold")
+    cuts = trees.cuts_of(rows, names)
+    table = trees.binned(rows, names, "label", cuts, "fold")
+    tasks = {i * FOLDS + fold: (params, fold) for i, params in enumerate(sets) for fold in range(FOLDS)}
+    models = grown(table, cuts, name, tasks, seed)
+    # One row per trial and fold.
+    held = trees.confusion(table, {t: (tasks[t][1], model) for t, model in models.items()}, width)
+    counts = {r["model"]: r for r in held.collect()}
+    rows_in_all = table.count()
+
+    def score(task: int) -> float:
+        own = counts.get(task)
+        if own is None or not own["rows"] or own["rows"] == rows_in_all:
+            return float("nan")
+        wrong = own["false"] + own["missed"]
+        return 2 * own["hit"] / (2 * own["hit"] + wrong) if own["hit"] + wrong else 0.0
+
+    scores = [score(t) for t in range(len(tasks))]
+    return [sum(scores[i : i + FOLDS]) / FOLDS for i in range(0, len(scores), FOLDS)]
+
+
 def best_trial(scores: list[float]) -> int:
     """The first trial with the best score; an undefined score loses to every other."""
     return max(range(len(scores)), key=lambda i: float("-inf") if scores[i] != scores[i] else scores[i])

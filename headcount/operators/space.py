@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from headcount.session import cut_lineage
 
@@ -181,7 +182,7 @@ def _sampled(vectors: DataFrame, cell_rows: int, seed: int) -> DataFrame:
     return vectors.where(share <= wanted / F.col("rows"))
 
 
-def seated(rows: DataFrame, hosts: DataFrame, work: Callable, schema: str) -> DataFrame:
+def seated(rows: DataFrame, hosts: DataFrame, work: Callable, schema: str | StructType) -> DataFrame:
     """`work` on the rows and the hosts of each cell, at most about `DESK_ROWS` rows at a time.
 
     A cell that many rows go to is copied, and its rows shared out. The rows are few and
@@ -230,7 +231,7 @@ def cells_of(vectors: DataFrame, width: int, cell_rows: int, seed: int, slanted:
         if found.where(F.size("at") > 0).isEmpty():
             raise ValueError("cells of equal vectors cannot be cut; vectors must be distinct")
         trees.append(found)
-        cut = seated(celled.join(large, "cell", "left_semi"), found, _below(width), celled.schema.simpleString()[7:-1])
+        cut = seated(celled.join(large, "cell", "left_semi"), found, _below(width), celled.schema)
         celled = cut_lineage(cut.unionByName(celled.join(large, "cell", "left_anti")))
 
 

@@ -1,8 +1,9 @@
+import numpy as np
 import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
 
-from headcount.operators import features, models, scoring
+from headcount.operators import features, models, scoring, trees
 from headcount.plans import prediction
 
 
@@ -108,6 +109,40 @@ def test_folds_share_each_class_evenly(spark, distinct):
         assert len(counts) == 3 and sum(counts) == size and max(counts) - min(counts) <= 1
 
 
+def test_boosted_models_differ_in_growth():
+    level = models.growth("xgboost", models.DEFAULTS["xgboost"], 8)
+    leaf = models.growth("LightGBM", models.DEFAULTS["LightGBM"], 8)
+    assert (level.leaves, level.l2, level.min_leaf) == (None, 1.0, 1) and (leaf.leaves, leaf.l2, leaf.min_leaf) == (31, 0.0, 20)
+    tree = models.growth("Decision Tree", models.DEFAULTS["Decision Tree"] | {"max_features": "sqrt", "splitter": "random", "min_samples_split": 9}, 9)
+    assert int(tree.features * 9) == 3 and tree.random_cuts and tree.min_split == 9
+
+
+@pytest.mark.parametrize("name", ["Decision Tree", "LightGBM"])
+def test_trials_together_score_as_single_fits(prepared, name):
+    """One scan for all trials and folds gives what each fit gives alone."""
+    sets = models.draw(name, 2)
+    if name == "LightGBM":
+        sets = [s | {"n_estimators": 4} for s in sets]
+    else:  # random places depend on the bins
+        sets = [s | {"splitter": "best", "max_features": None} for s in sets]
+    scores = models.cross_validate(prepared.train, prepared.columns, "label", name, sets)
+    dealt = models.folds(prepared.train, "label", prepared.columns).toPandas()
+    spark = prepared.train.sparkSession
+    for params, score in zip(sets, scores, strict=True):
+        own = []
+        for fold in range(3):
+            rest = dealt[dealt["fold"] != fold]
+            frame = spark.createDataFrame([(float(y), *map(float, v)) for y, v in zip(rest["label"], rest["vec"])], ["label", *prepared.columns])
+            model = models.train(frame, prepared.columns, "label", name, params)
+            held = dealt[dealt["fold"] == fold]
+            x = np.array(held["vec"].tolist())
+            said = model.chance(trees._to_bins(x, model.cuts)) > 0.5
+            y = held["label"].to_numpy() == 1
+            own.append(2 * (said & y).sum() / max(1, 2 * (said & y).sum() + (said != y).sum()))
+        # bins of all rows and of two folds may differ a little
+        assert abs(score - sum(own) / 3) < 0.05
+
+
 def test_few_distinct_rows_can_be_tuned(spark):
     rows = spark.range(300).selectExpr("id % 2 * 1.0D x", "cast(id % 2 as double) y")
     tuned = models.tune(rows, ["x"], "y", "Decision Tree", trials=2)
