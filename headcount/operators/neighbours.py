@@ -259,18 +259,20 @@ def _exact(numbered: DataFrame, k: int, seed: int, asking: DataFrame | None = No
     return _search(home, cells, width, k)
 
 
-def hashed_vectors(vectors: DataFrame, k: int, seed: int = 42, tables: int | None = None) -> DataFrame:
+def hashed_vectors(
+    vectors: DataFrame, k: int, seed: int = 42, tables: int | None = None, bucket_rows: int | None = None
+) -> DataFrame:
     """As `nearest_vectors`, with the best neighbours that buckets of like vectors hold.
 
     Each of the `tables` tables (`TABLES` by default) cuts space along other random
-    directions into buckets of about `BUCKET_ROWS`. What a vector is given are true
+    directions into buckets of about `bucket_rows` vectors (`BUCKET_ROWS`). What a vector is given are true
     distances; some of the `k` may not be the nearest, but there are never fewer.
     """
     numbered = _numbered(vectors)
     width = _width(numbered)
     found = None
     for table in range(tables or TABLES):
-        cells = space.cells_of(numbered.select("id", "vec"), width, BUCKET_ROWS, seed + 1000 * (table + 1), slanted=True)
+        cells = space.cells_of(numbered.select("id", "vec"), width, bucket_rows or BUCKET_ROWS, seed + 1000 * (table + 1), slanted=True)
         near = _entries(_home(cells, k))
         if not len(cells.top.at):
             return _named(numbered, cut_lineage(_best(near, k)))  # one bucket holds all
