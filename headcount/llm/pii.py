@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import xxhash
@@ -27,10 +27,12 @@ TERM_RANK = len(KINDS)
 
 #: Words on either side of an entity that count as beside it, and characters they are in.
 BESIDE, REACH = 8, 160
-#: Share of an entity's information that a term may give.
-DISCLOSURE = 0.9
-#: Disclosing terms that may be broadcast.
+#: Bits that a reader of a term must lack to know the entity, at least.
+LACKING = 1.0
+#: Disclosing terms that each task may hold as a set.
 BROADCAST_TERMS = 200_000
+#: Characters of text whose results leave a task together.
+SLICE = 1_000_000
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -120,94 +122,121 @@ MENTION = "struct<entity:long,context:long,terms:array<string>>"
 SCAN = f"doc_id long, mark long, base array<struct<start:int,rank:int,end:int>>, mentions array<{MENTION}>"
 
 
+def _slices(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Runs of rows with about `SLICE` characters: what a text yields may exceed it by far."""
+    ends = batch["text"].str.len().cumsum() // SLICE
+    for _, part in batch.groupby(ends, sort=True):
+        yield part
+
+
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        base, mentions = [], []
-        for text in batch["text"]:
-            spans = base_spans(text)
-            beside: dict[int, set[str]] = {}
-            for start, kind, end in spans:
-                entity = _entity(kind, text[start:end])
-                near = {w for w, _, _ in _beside(text, spans, start, end)}
-                beside.setdefault(entity, set()).update(near)
-            base.append([{"start": s, "rank": k, "end": e} for s, k, e in spans])
-            mentions.append(
-                [
-                    {
-                        "entity": entity,
-                        "context": xxhash.xxh64_intdigest(" ".join(sorted(near))) >> 1,
-                        "terms": sorted(near),
-                    }
-                    for entity, near in beside.items()
-                ]
-            )
-        yield pd.DataFrame(
-            {"doc_id": batch["doc_id"], "mark": batch["mark"], "base": base, "mentions": mentions}
+        for part in _slices(batch):
+            yield _scanned(part)
+
+
+def _scanned(batch: pd.DataFrame) -> pd.DataFrame:
+    base, mentions = [], []
+    for text in batch["text"]:
+        spans = base_spans(text)
+        beside: dict[int, set[str]] = {}
+        for start, kind, end in spans:
+            entity = _entity(kind, text[start:end])
+            near = {w for w, _, _ in _beside(text, spans, start, end)}
+            beside.setdefault(entity, set()).update(near)
+        base.append([{"start": s, "rank": k, "end": e} for s, k, e in spans])
+        mentions.append(
+            [
+                {
+                    "entity": entity,
+                    "context": xxhash.xxh64_intdigest(" ".join(sorted(near))) >> 1,
+                    "terms": sorted(near),
+                }
+                for entity, near in beside.items()
+            ]
         )
+    return pd.DataFrame(
+        {"doc_id": batch["doc_id"].to_numpy(), "mark": batch["mark"].to_numpy(), "base": base, "mentions": mentions}
+    )
 
 
-def _frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """In how many documents of a batch each term is."""
-    for batch in batches:
-        seen: Counter[str] = Counter()
-        for text in batch["text"]:
-            seen.update({w.lower() for w in TERM.findall(text)})
-        yield pd.DataFrame({"term": list(seen), "n": list(seen.values())})
+def _frequencies(terms: frozenset[str] | None) -> Callable:
+    """In how many documents of a slice each term is; of the given terms, or of all."""
 
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for part in _slices(batch):
+                seen: Counter[str] = Counter()
+                for text in part["text"]:
+                    own = {w.lower() for w in TERM.findall(text)}
+                    seen.update(own if terms is None else own & terms)
+                if seen:
+                    yield pd.DataFrame({"term": list(seen), "n": list(seen.values())})
+
+    return count
 
-def _places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Where each term of a text is written."""
-    for batch in batches:
-        marks, terms, places = [], [], []
-        for mark, text in zip(batch["mark"], batch["text"], strict=True):
-            own: dict[str, list[dict[str, int]]] = {}
-            for m in TERM.finditer(text):
-                own.setdefault(m[0].lower(), []).append({"start": m.start(), "end": m.end()})
-            marks += [mark] * len(own)
-            terms += own
-            places += own.values()
-        yield pd.DataFrame({"mark": marks, "term": terms, "places": places})
+
+def _places(terms: frozenset[str] | None) -> Callable:
+    """Where each term of a text is written; of the given terms, or of all."""
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for part in _slices(batch):
+                marks, found, places = [], [], []
+                for mark, text in zip(part["mark"], part["text"], strict=True):
+                    own: dict[str, list[dict[str, int]]] = {}
+                    for m in TERM.finditer(text):
+                        word = m[0].lower()
+                        if terms is None or word in terms:
+                            own.setdefault(word, []).append({"start": m.start(), "end": m.end()})
+                    marks += [mark] * len(own)
+                    found += own
+                    places += own.values()
+                if marks:
+                    yield pd.DataFrame({"mark": marks, "term": found, "places": places})
+
+    return find
+
+
+def _held(terms: DataFrame) -> frozenset[str] | None:
+    """The terms as a set if they are few enough to be sent to each task."""
+    found = terms.limit(BROADCAST_TERMS + 1).collect()
+    return None if len(found) > BROADCAST_TERMS else frozenset(r["term"] for r in found)
 
 
 def disclosing(scanned: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(entity, term, disclosure) at or above the threshold.
+    """(entity, term, lacking): pairs that leave fewer bits than the threshold.
 
     Frequencies are of documents, whole texts and all of them; pairs are counted where
-    the term is beside the entity. Every pair is judged. The share of a term's documents
-    that have the entity beside it is lowered as if one more surrounding had the term
-    alone: against one surrounding, which may be chance or copies, that is a half, and
-    against many it is nothing. An entity in every document carries no information, so
-    nothing discloses it.
+    the term is beside the entity. Every pair is judged. P(entity | term), the share of a
+    term's documents that have the entity beside it, is lowered as if one more surrounding
+    had the term alone: against one surrounding, which may be chance or copies, that is a
+    half, and against many it is nothing.
     """
     mentions = scanned.select(F.explode("mentions").alias("m")).select("m.*")
-    per_entity = mentions.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    pairs = (
+    pairs, _ = scratch.keep(
         mentions.select("entity", "context", F.explode("terms").alias("term"))
         .groupBy("entity", "term", "context")
         .agg(F.count(F.lit(1)).alias("n"))
         .groupBy("entity", "term")
         .agg(F.sum("n").alias("n_pair"), F.count(F.lit(1)).alias("contexts"))
     )
-    pairs, _ = scratch.keep(pairs.join(per_entity, "entity"))
     if pairs.isEmpty():
-        return pairs.select("entity", "term", F.lit(0.0).alias("disclosure"))
+        return pairs.select("entity", "term", F.lit(0.0).alias("lacking"))
     asked = pairs.select("term").distinct()
-    per_term = (
-        docs.select(F.coalesce("text", F.lit("")).alias("text"))
-        .mapInPandas(_frequencies, "term string, n long")
-        .join(asked, "term", "left_semi")
-        .groupBy("term")
-        .agg(F.sum("n").alias("n_term"))
+    held = _held(asked)
+    counted = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInPandas(
+        _frequencies(held), "term string, n long"
     )
-    total = F.lit(float(scanned.count()))
-    carried = F.log(total / F.col("n_entity"))
+    if held is None:
+        counted = counted.join(asked, "term", "left_semi")
+    per_term = counted.groupBy("term").agg(F.sum("n").alias("n_term"))
+    per_term = per_term if held is None else F.broadcast(per_term)
     share = F.col("n_pair") / F.col("n_term") * F.col("contexts") / (F.col("contexts") + 1)
-    given = F.log(share * total / F.col("n_entity"))
     return (
         pairs.join(per_term, "term")
-        .where(carried > 0)
-        .select("entity", "term", (given / carried).alias("disclosure"))
-        .where(F.col("disclosure") >= DISCLOSURE)
+        .select("entity", "term", (-F.log2(share)).alias("lacking"))
+        .where(F.col("lacking") < LACKING)
     )
 
 
@@ -246,16 +275,21 @@ def find(docs: DataFrame) -> DataFrame:
     )
     told, _ = scratch.keep(disclosing(scanned, docs, scratch))
     terms, _ = scratch.keep(told.select("term").distinct())
-    few = terms.count() <= BROADCAST_TERMS
+    held = _held(terms)
+    written = source.select("mark", "text").mapInPandas(
+        _places(held), "mark long, term string, places array<struct<start:int,end:int>>"
+    )
+    if held is None:
+        written = written.join(terms, "term", "left_semi")
+    # a set: equal texts give the same places
     added = (
-        source.select("mark", "text")
-        .mapInPandas(_places, "mark long, term string, places array<struct<start:int,end:int>>")
-        .join(F.broadcast(terms) if few else terms, "term", "left_semi")
-        .distinct()  # equal texts
-        .select("mark", F.explode("places").alias("t"))
-        .groupBy("mark")
-        .agg(
-            F.collect_list(F.struct("t.start", F.lit(TERM_RANK).alias("rank"), "t.end")).alias("found")
+        written.groupBy("mark")
+        .agg(F.flatten(F.collect_set("places")).alias("places"))
+        .select(
+            "mark",
+            F.transform(
+                "places", lambda t: F.struct(t["start"].alias("start"), F.lit(TERM_RANK).alias("rank"), t["end"].alias("end"))
+            ).alias("found"),
         )
     )
     none = F.array().cast("array<struct<start:int,rank:int,end:int>>")

@@ -7,6 +7,7 @@ import math
 import re
 from collections import Counter
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -77,14 +78,10 @@ def test_against_counts(spark):
     frame = spark.createDataFrame(data, SCHEMA)
     got = pii.find(frame.repartition(4)).collect()
     assert len(got) == len(data)
-    n = len(data)
     words = Counter(w for _, t, _, _ in data for w in set(pii.TERM.findall((t or "").lower())))
     beside = {"note", "zaphod", "wrote", "from", "the", "day"}
-    told = set()
-    for w in beside:
-        pmi = math.log(5 * n / (words[w] * 5))
-        if pmi >= pii.DISCLOSURE * math.log(n / 5):
-            told.add(w)
+    # five surroundings, and one more that might have the term alone
+    told = {w for w in beside if -math.log2(5 / words[w] * 5 / 6) < pii.LACKING}
     assert "zaphod" in told
     by_id = {r.doc_id: r for r in got}
     for d, text, _, _ in data:
@@ -115,6 +112,23 @@ def test_empty(spark):
     assert pii.find(frame).collect() == [] and pii.sanitise(frame).collect() == []
 
 
+@pytest.mark.parametrize("others", [0, 50, 3000])
+@pytest.mark.parametrize("held", [200_000, 0])
+def test_verdict_does_not_depend_on_other_documents(spark, monkeypatch, others, held):
+    monkeypatch.setattr(pii, "BROADCAST_TERMS", held)
+    monkeypatch.setattr(pii, "SLICE", 2_000)
+    data = [(i, f"plain words number {i} of a large table", "", "") for i in range(others)]
+    data += [(9000, "Zaphod signs as z@example.org each day", "", ""), (9001, "z@example.org or Zaphod, both", "", "")]
+    data += [(9002, "only zaphod", "", ""), (9003, "hapax beside once@example.org", "", "")]
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame(data, SCHEMA)).collect()}
+    # two of three documents, lowered to 4/9, leave 1.2 bits; without the third, 2/3 leave 0.6
+    assert [got[i].n_term for i in (9000, 9001, 9002, 9003)] == [0, 0, 0, 0]
+    data.remove((9002, "only zaphod", "", ""))
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame(data, SCHEMA)).collect()}
+    assert [got[i].n_term for i in (9000, 9001, 9003)] == [1, 1, 0]
+    assert not any(r.n_term for i, r in got.items() if i < 9000)
+
+
 def test_every_pair_is_judged_and_masked_everywhere(spark):
     """Two surroundings are enough for a term of its own; it is masked far off and alone."""
     far = "plain words " * 40
