@@ -68,8 +68,21 @@ def to_long(wide: DataFrame, keep: list[str], variable: str = "variable", value:
 
 
 def crosstab_long(df: DataFrame, a: str, b: str) -> DataFrame:
-    """The crosstab as rows (a, variable, value), zeros included."""
-    return to_long(crosstab(df, a, b), [a])
+    """The crosstab as rows (a, variable, value), zeros included.
+
+    Nothing is pivoted, so `b` may have any number of values: each value of `a` is
+    paired with the list of them, and the counted pairs are joined to that. Rows with
+    a null in either key are left out; an empty table gives no rows.
+    """
+    left, right = F.col(f"`{a}`").alias("_a"), F.col(f"`{b}`").alias("_b")
+    pairs = df.select(left, right).dropna().groupBy("_a", "_b").agg(_count())
+    levels = pairs.agg(F.collect_set("_b")).scalar()
+    cells = pairs.select("_a").distinct().withColumn("_b", F.explode(levels))
+    return cells.join(pairs, ["_a", "_b"], "left").select(
+        F.col("_a").alias(a),
+        F.col("_b").cast("string").alias("variable"),
+        F.coalesce("count", F.lit(0)).cast("bigint").alias("value"),
+    )
 
 
 def present_dimensions(df: DataFrame, dimensions: tuple[str, ...] = DIVERSITY_DIMENSIONS) -> list[str]:

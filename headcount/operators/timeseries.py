@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from headcount.functions.ordering import row_positions, sliding
+from headcount.session import cut_lineage
 
 # Truncation unit and season length of each grain.
 UNITS = {"daily": "day", "weekly": "week", "monthly": "month", "quarterly": "quarter", "yearly": "year"}
@@ -38,8 +39,13 @@ def _line(positioned: DataFrame, value: str) -> Column:
 
 
 def linear_trend(df: DataFrame, order: list[str], value: str, few_rows: bool = False) -> DataFrame:
-    """Add the row position and the least-squares line over it."""
+    """Add the row position and the least-squares line over it.
+
+    Raw rows are ordered once: the line and the result read the stored positions.
+    """
     positioned = row_positions(df, order, few_rows).drop("total")
+    if not few_rows:
+        positioned = cut_lineage(positioned)
     line = F.col("_line")
     return (
         positioned.withColumn("_line", _line(positioned, value))
@@ -87,7 +93,8 @@ def seasonal_decompose(
     The trend is the centred mean over one season (half weights at both ends
     when its length is even), null at the edges. Rows stand one step apart,
     whatever gaps the dates have. With fewer than two seasons all parts but the
-    observed one are null.
+    observed one are null. Raw rows are shuffled twice, to order them and to move the
+    window; the season's means and the result read the stored trend.
     """
     period = SEASONS[grain]
     half = period // 2
@@ -106,6 +113,8 @@ def seasonal_decompose(
     trended = moved.withColumns(
         {"trend": F.when(inner, (F.col("_sum") - ends) / period), "_season": F.col("pos") % period}
     ).drop("_sum", "_rows", "_first", "_last")
+    if not few_rows:
+        trended = cut_lineage(trended)
     # One row per place in the season.
     means = (
         trended.groupBy("_season")

@@ -91,6 +91,21 @@ def test_null_keys_leave_the_counts(staff):
     assert counts.crosstab_long(staff, "Department", "Gender").count() == 4
 
 
+def test_long_crosstab_has_no_limit(spark):
+    """As the pivoted table where that exists; any number of values, none in an empty table."""
+    df = spark.createDataFrame(
+        [("x", 1), ("x", 1), ("x", 2), ("y", 3), (None, 1), ("z", None)], "`a b` string, k int"
+    )
+    got = {(r["a b"], r["variable"]): r["value"] for r in counts.crosstab_long(df, "a b", "k").collect()}
+    wide = counts.crosstab(df, "a b", "k").collect()
+    assert got == {(r["a b"], c): r[c] for r in wide for c in ("1", "2", "3")}
+    many = spark.range(1500).select(F.col("id").alias("b"), (F.col("id") % 3).alias("a"))
+    rows = counts.crosstab_long(many, "a", "b")
+    assert rows.count() == 4500
+    assert rows.agg(F.sum("value")).first()[0] == 1500
+    assert counts.crosstab_long(df.limit(0), "a b", "k").collect() == []
+
+
 def test_crosstab_refuses_wide_keys(spark):
     df = spark.range(20).select(F.col("id").alias("a"), F.col("id").cast("string").alias("b"))
     with pytest.raises(ValueError, match="pair_counts"):

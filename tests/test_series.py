@@ -126,3 +126,13 @@ def test_hierarchy(spark):
     df = spark.createDataFrame([("x", "p"), ("x", "q"), ("x", "q"), ("y", None)], "a string, b string")
     got = {(r["a"], r["b"], r["level"]): r["count"] for r in distributions.hierarchy_counts(df, "a", "b").collect()}
     assert got == {("x", None, 1): 3, ("x", "p", 2): 1, ("x", "q", 2): 2}
+
+
+def test_raw_rows_are_ordered_once(spark):
+    """The line, and the season's means, read stored rows: no order is computed again."""
+    series = _series(spark, [float(i % 5) for i in range(60)])
+    for found in (
+        timeseries.linear_trend(series, ["t"], "v"),
+        timeseries.seasonal_decompose(series, ["t"], "v"),
+    ):
+        assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
