@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from headcount.operators import features, models, scoring, trees
 from headcount.plans import prediction
+from suite import learning
 
 
 @pytest.fixture(scope="module")
@@ -180,3 +181,15 @@ def test_refit_uses_the_tuned_parameters(prepared):
     tuned = models.Tuned("Decision Tree", {"max_depth": 1}, 0.0, None, None)
     assert models.fit_best(prepared.train, prepared.columns, "label", tuned).depth == 1
     assert features.FeaturePlan().outputs == []
+
+
+def test_tune_query_gives_the_figures_of_every_trial(spark, prepared, monkeypatch):
+    monkeypatch.setattr(learning, "learnable", lambda spark, d: prepared)
+    got = sorted(learning.QUERIES["tune"](spark, "").collect())
+    sets = models.draw("Decision Tree", models.TRIALS)
+    assert [r["trial"] for r in got] == list(range(models.TRIALS))
+    for i in (0, 12, 27):
+        alone = models.cross_validate(prepared.train, prepared.columns, "label", "Decision Tree", [sets[i]])
+        assert got[i]["f1"] == round(alone[0], 6)
+    largest = max(r["f1"] for r in got)
+    assert [r["trial"] for r in got if r["best"]] == [min(r["trial"] for r in got if r["f1"] == largest)]
