@@ -21,6 +21,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -34,7 +35,7 @@ CHUNK = 64
 #: this share of them, and so many at least, differ in some other node. Pages that have
 #: such a node in common are a layout, and are judged like all pages.
 SHARE, DIFFER, PAGES = 0.8, 0.5, 4
-#: Sibling pairs beyond which children are matched greedily in order.
+#: Sibling pairs beyond which children are matched by whole rows of pairs, to the same result.
 CELLS = 250_000
 #: Deeper elements count as children of the last level.
 DEPTH = 60
@@ -310,18 +311,7 @@ def _pairs(a: list[Node], b: list[Node], memo: dict) -> list[tuple[int, int]]:
     if [x.form for x in a] == [y.form for y in b]:
         return [(i, i) for i in range(len(a))]
     if len(a) * len(b) > CELLS:
-        pairs, start = [], 0
-        places: dict[str, list[int]] = {}
-        for i, x in enumerate(a):
-            places.setdefault(x.label, []).append(i)
-        for j, y in enumerate(b):
-            own = places.get(y.label, [])
-            while own and own[0] < start:
-                own.pop(0)
-            if own:
-                pairs.append((own[0], j))
-                start = own[0] + 1
-        return pairs
+        return _pairs_by_rows(a, b, memo)
     score = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a, 1):
         for j, y in enumerate(b, 1):
@@ -340,6 +330,40 @@ def _pairs(a: list[Node], b: list[Node], memo: dict) -> list[tuple[int, int]]:
     return pairs[::-1]
 
 
+def _pairs_by_rows(a: list[Node], b: list[Node], memo: dict) -> list[tuple[int, int]]:
+    """As `_pairs`, a row of scores at a time; what is kept of a pair is two bits."""
+    labels: dict[str, int] = {}
+    kinds = np.array([labels.setdefault(y.label, len(labels)) for y in b])
+    places = {label: np.flatnonzero(kinds == kind) for label, kind in labels.items()}
+    deep = {label: [j for j in own.tolist() if b[j].children] for label, own in places.items()}
+    above, steps = np.zeros(len(b) + 1, dtype=np.int64), []
+    for x in a:
+        worth = np.zeros(len(b), dtype=np.int64)
+        if x.label in places:
+            worth[places[x.label]] = 1  # two of one label, one of them without children
+            for j in deep[x.label] if x.children else ():
+                worth[j] = matching(x, b[j], memo)
+        row = np.zeros_like(above)
+        row[1:] = np.maximum.accumulate(np.maximum(above[1:], above[:-1] + worth))
+        steps.append((np.packbits(row[1:] == above[1:]), np.packbits(row[1:] == row[:-1])))
+        above = row
+
+    def bit(bits: np.ndarray, at: int) -> int:
+        return bits[at >> 3] >> (7 - (at & 7)) & 1
+
+    pairs, i, j = [], len(a), len(b)
+    while i and j:
+        up, left = steps[i - 1]
+        if bit(up, j - 1):
+            i -= 1
+        elif bit(left, j - 1):
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            pairs.append((i, j))
+    return pairs[::-1]
+
+
 def align(wrapper: Node, page: Node, owner: dict[int, Node]) -> None:
     """Grow the wrapper by a page; `owner` gets the wrapper node of each block."""
     memo: dict[tuple[int, int], int] = {}

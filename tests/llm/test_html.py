@@ -167,3 +167,13 @@ def test_template_of_one_layout_among_several():
     two = [f"<section><h2>Post {i}</h2><ul><li>Read our rules</ul></section>" for i in range(6)]
     got = html.main_texts([html.read(p) for p in one + two])
     assert got == [f"Shop {i}" for i in range(9)] + [f"Post {i}" for i in range(6)]
+
+
+def test_long_lists_of_siblings_are_matched_as_short_ones(monkeypatch):
+    draw = random.Random(9)
+    for _ in range(200):
+        a, b = random_tree(draw).children, random_tree(draw).children
+        monkeypatch.setattr(html, "CELLS", 250_000)
+        short = html._pairs(a, b, {})
+        monkeypatch.setattr(html, "CELLS", 0)
+        assert html._pairs(a, b, {}) == short
