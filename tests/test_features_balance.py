@@ -237,3 +237,26 @@ def test_edited_nearest_equals_brute_force(spark, monkeypatch):
         if all(rows[j, 3] == row[3] for j in others[:3]):
             kept.append(tuple(row))
     assert sorted(map(tuple, got[["p", "q", "r", "label"]].to_numpy())) == sorted(kept)
+
+
+def test_most_vectors_end_at_home(spark, monkeypatch):
+    draw = np.random.default_rng(8)
+    points = draw.random((3000, 2))
+    rows = spark.createDataFrame([(p.tolist(), [1]) for p in points], "vec array<double>, sizes array<bigint>")
+    monkeypatch.setattr(neighbours, "CELL_ROWS", 200)
+    asked, visits = [], space.visits
+    monkeypatch.setattr(space, "visits", lambda a, *rest: asked.append(a.count()) or visits(a, *rest))
+    got = {tuple(r["vec"]): [tuple(n["vec"]) for n in r["neighbours"]] for r in neighbours.nearest_vectors(rows, 3).collect()}
+    assert sum(asked) < 3000
+    for p in points[::50]:
+        near = np.argsort(((points - p) ** 2).sum(axis=1), kind="stable")[1:4]
+        assert got[tuple(p)] == [tuple(q) for q in points[near].tolist()]
+
+
+def test_hashed_tables_are_cut_in_common_jobs(spark):
+    draw = np.random.default_rng(5)
+    rows = spark.createDataFrame([(i, draw.random(3).tolist()) for i in range(2000)], "id long, vec array<double>")
+    together = space.buckets_of(rows, 3, 100, [7, 1007]).collect()
+    for table, seed in enumerate((7, 1007)):
+        alone = {r["id"]: r["cell"] for r in space.cells_of(rows, 3, 100, seed, slanted=True).table.collect()}
+        assert {r["id"]: r["cell"].split(":")[1] for r in together if r["cell"].startswith(f"{table}:")} == alone
