@@ -3,7 +3,7 @@ import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
 
-from headcount.operators import features, models, scoring, trees
+from headcount.operators import features, logistic, models, scoring, trees
 from headcount.plans import prediction
 from suite import learning
 
@@ -193,3 +193,30 @@ def test_tune_query_gives_the_figures_of_every_trial(spark, prepared, monkeypatc
         assert got[i]["f1"] == round(alone[0], 6)
     largest = max(r["f1"] for r in got)
     assert [r["trial"] for r in got if r["best"]] == [min(r["trial"] for r in got if r["f1"] == largest)]
+
+
+def test_regressions_in_common_scans_equal_the_estimator(spark, prepared, monkeypatch):
+    sets = [{"C": c, "l1_ratio": r} for c, r in ((0.02, 1.0), (0.5, 0.0), (10.0, 0.4))]
+    dealt = models.folds(prepared.train, "label", prepared.columns).localCheckpoint()
+    table = logistic.stored(dealt, "vec", "label", "fold")
+    scans = []
+    sums = logistic._sums
+    monkeypatch.setattr(logistic, "_sums", lambda *a: scans.append(1) or sums(*a))
+    tasks, wanted = {}, {}
+    for i, p in enumerate(sets):
+        rows = dealt if i == 2 else dealt.where(f"fold != {i}")
+        n = rows.count()
+        tasks[i] = logistic.Logistic(1.0 / (p["C"] * n), p["l1_ratio"], -1 if i == 2 else i)
+        ready = rows.select(models.array_to_vector("vec").alias("features_vector"), "label")
+        wanted[i] = models.estimator("Logistic Regression", p, n).setTol(1e-12).fit(ready)
+    got = logistic.fit(table, tasks, 3)
+    assert len(scans) < 40
+    for i, model in wanted.items():
+        assert np.abs(got[i] - [*model.coefficients, model.intercept]).max() < 1e-3, i
+
+
+def test_regression_on_one_class_is_sure(spark):
+    rows = spark.createDataFrame([([float(i)], 1.0, i % 2) for i in range(6)], "vec array<double>, label double, fold int")
+    table = logistic.stored(rows, "vec", "label", "fold")
+    assert logistic.fit(table, {0: logistic.Logistic(0.1, holdout=0)}, 1)[0].tolist() == [0.0, np.inf]
+    assert logistic.fit(table.where("fold = 0"), {0: logistic.Logistic(0.1, holdout=0)}, 1) == {}
