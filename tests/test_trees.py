@@ -163,6 +163,30 @@ def test_boosted_models_together_and_their_holdouts(spark, stored):
         assert (r["hit"], r["rows"]) == ((said & (y[own] == 1)).sum(), own.sum())
 
 
+def test_merged_rows_give_the_same_models(spark):
+    """Rows of the same bins, label and fold are one row with a count, and scans see as much."""
+    schema = "p double, q double, y double, fold int"
+    some = [(i % 3 * 1.0, i % 2 * 1.0, float(i % 3 == 2 or i % 7 == 0), i % 2) for i in range(60)]
+    frame = spark.createDataFrame([(x, None if i % 10 == 9 else q, y, f) for _ in range(9) for i, (x, q, y, f) in enumerate(some)], schema)
+    cuts = trees.cuts_of(frame, ["p", "q"])
+    apart, merged = [trees.binned(frame, ["p", "q"], "y", cuts, "fold", m) for m in (False, True)]
+    distinct = {(x, q or 0.0, y, f) for x, q, y, f in frame.collect()}
+    assert apart.count() == 540 and merged.count() == len(distinct) < 40
+    assert merged.agg(F.sum("n").alias("n")).first()["n"] == 540
+    growths = {0: Growth(max_depth=4, min_leaf=20), 1: Growth("entropy", min_split=100, random_cuts=True)}
+    for holdout in (-1, 1):
+        samples = dict.fromkeys(growths, Sample(holdout))
+        assert trees.classify(merged, growths, samples, 2, trees.MAX_BINS) == trees.classify(apart, growths, samples, 2, trees.MAX_BINS)
+    boosts = {0: Boost(12, 0.3), 1: Boost(5, 0.1, Growth("newton", max_depth=3, leaves=4, l2=0.0, min_leaf=20, min_weight=1e-3), Sample(0), True)}
+    one, other = [trees.boost(t, boosts, 2, trees.MAX_BINS) for t in (merged, apart)]
+    bins = trees._to_bins(np.array([(p, q) for p in range(3) for q in range(2)], dtype=float), cuts)
+    for m, rate in ((0, 0.3), (1, 0.1)):
+        a, b = [trees.GrownModel(cuts, made[m][1], made[m][0], rate) for made in (one, other)]
+        assert a.start == b.start and np.abs(a.chance(bins) - b.chance(bins)).max() < 1e-9
+        counted = [trees.confusion(t, {m: (0, a)}, 2).collect() for t in (merged, apart)]
+        assert counted[0] == counted[1] and counted[0][0]["rows"] == 270
+
+
 def test_odd_tables(spark):
     schema = "p double, y double"
     for data in ([], [(1.0, None)], [(None, 1.0), (None, 0.0)], [(1.0, 1.0)] * 5):
