@@ -260,3 +260,29 @@ def test_hashed_tables_are_cut_in_common_jobs(spark):
     for table, seed in enumerate((7, 1007)):
         alone = {r["id"]: r["cell"] for r in space.cells_of(rows, 3, 100, seed, slanted=True).table.collect()}
         assert {r["id"]: r["cell"].split(":")[1] for r in together if r["cell"].startswith(f"{table}:")} == alone
+
+
+def test_cells_are_cut_between_values():
+    """A vector on either side of a cut is half a step from it, so a small ball stays in its cell."""
+    places = np.array([(x, y, z / 4) for x in range(2) for y in range(2) for z in range(5)], dtype=float)
+    cells = space.grow(places, 6)
+    who, at, _ = cells.reached(places, np.full(len(places), 0.01))
+    assert who.tolist() != [] and sorted(who) == list(range(len(places)))
+    assert len(set(at)) == 6 and dict(zip(who, at, strict=True)) == dict(enumerate(cells.cell(places)))
+
+
+def test_vectors_near_few_cells_visit_them_in_one_round(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "CELL_ROWS", 40)
+    rounds = []
+    seen = space.visits
+    monkeypatch.setattr(neighbours.space, "visits", lambda *a: rounds.append(1) or seen(*a))
+    draw = np.random.default_rng(5)
+    points = sorted({(float(x), float(y)) for x, y in zip(draw.random(500).round(3), draw.integers(0, 4, 500))})
+    frame = spark.createDataFrame([(list(p), [1]) for p in points], "vec array<double>, sizes array<bigint>")
+    found = {tuple(r["vec"]): [tuple(n["vec"]) for n in r["neighbours"]] for r in neighbours.nearest_vectors(frame, 3).collect()}
+    whole = np.array(points)
+    for p in points:
+        squares = ((whole - p) ** 2).sum(axis=1)
+        near = sorted((s, q) for s, q in zip(squares, points) if q != p)[:3]
+        assert found[p] == [q for _, q in near]
+    assert len(found) == len(points) and len(rounds) == 1
