@@ -195,6 +195,14 @@ def test_tune_query_gives_the_figures_of_every_trial(spark, prepared, monkeypatc
     assert [r["trial"] for r in got if r["best"]] == [min(r["trial"] for r in got if r["f1"] == largest)]
 
 
+def test_tune_query_tells_the_parameters_of_every_trial(spark, prepared, monkeypatch):
+    monkeypatch.setattr(learning, "learnable", lambda spark, d: prepared)
+    got = learning.QUERIES["tune"](spark, "")
+    assert got.columns == ["trial", "f1", "params", "best"]
+    sets = models.draw("Decision Tree", models.TRIALS)
+    assert {r["trial"]: r["params"] for r in got.collect()} == {i: str(p) for i, p in enumerate(sets)}
+
+
 def test_regressions_in_common_scans_equal_the_estimator(spark, prepared, monkeypatch):
     sets = [{"C": c, "l1_ratio": r} for c, r in ((0.02, 1.0), (0.5, 0.0), (10.0, 0.4))]
     dealt = models.folds(prepared.train, "label", prepared.columns).localCheckpoint()
